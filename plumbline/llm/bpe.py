@@ -3,7 +3,8 @@
 The last token of a prefix's encoding, together with the encodings of shorter prefixes, gives the prefix's encoding:
 a token that ends the prefix is the right one exactly when it and the last token before it encode to themselves.  The
 distinct words of a batch are put into a trie, and a depth-first walk carries each prefix's last token, so that what
-words share at their start is encoded once.  Normalising and splitting follow the tokenizer file itself.
+words share at their start is encoded once.  The trie is the sorted list of the words: its nodes are their prefixes, two
+neighbours part where their common prefix ends, and reading the list in order is the depth-first walk.  Normalising and splitting follow the tokenizer file itself.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 from plumbline.functions.shipping import ship_package
 from plumbline.llm.common import text_or_empty
 
-#: Words and chunks that a worker keeps; beyond that it forgets all and starts again.
-KEPT_CHUNKS = 500_000
+#: Words that a worker keeps; beyond that it forgets all and starts again.
+KEPT_WORDS = 600_000
 KEPT_PAIRS = 1_000_000
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 #: Printable characters below U+0100: their normal form, case and classes are the same in every Unicode version.
 _PLAIN = re.compile("[!-~\u00a1-\u00ff]+")
+_PLAIN_TEXT = re.compile("[\\x09-\\x0d -~\u00a1-\u00ff]*")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,6 +45,13 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 
+def _longest(tokens: dict[str, int]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for t in tokens:
+        out[t[-2:]] = max(out.get(t[-2:], 1), len(t))
+    return out
+
+
 def _plain(spec: dict) -> regex.Pattern | None:
     """The file's own word pattern, if it is one that can be applied to plain chunks without the library."""
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -80,7 +89,11 @@ class TrieBpe:
         self.token |= {i: t for t, i in self.special.items()}
         self.parts = {i: self._symbols(t) for t, i in self.vocab.items()}
         self.size = {i: len(p) for i, p in self.parts.items()}
-        self.most = max(self.size.values())
+        # tokens by their text, those that can end a word by their text without the suffix; and how long any is that ends alike
+        closing = {i for t, i in self.vocab.items() if self.suffix and t.endswith(self.suffix) and t != self.suffix}
+        self.inner = {t: i for t, i in self.vocab.items() if i not in closing}
+        self.final = {t[: -len(self.suffix)]: i for t, i in self.vocab.items() if i in closing} if self.suffix else self.inner
+        self.longest, self.final_longest = _longest(self.inner), _longest(self.final)
         self.plain_split = _plain(spec)
         self.fits: dict[tuple[int, int], bool] = {}
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -129,49 +142,44 @@ class TrieBpe:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each word (in the file's own alphabet), by one walk over the trie of all of them."""
-        below: list[dict[str, int]] = [{}]
-        sample, ends = [""], {}
-        for word in words:
-            node, end = 0, len(word) - 1
-            for i, symbol in enumerate(word):
-                if i == end:
-                    symbol += self.suffix
-                nxt = below[node].get(symbol)
-                if nxt is None:
-                    nxt = below[node][symbol] = len(below)
-                    below.append({})
-                    sample.append(word)
-                node = nxt
-            ends[node] = word
-        out: dict[str, list[int]] = {"": []}
-        last: list[int] = [-1]
-        todo = [(n, 1) for n in below[0].values()]
-        vocab, sizes, most, suffix, fits, follows = self.vocab, self.size, self.most, self.suffix, self.fits, self._follows
-        while todo:
-            node, depth = todo.pop()
-            word = sample[node]
-            del last[depth:]
-            mark = suffix if depth == len(word) and node in ends else ""
-            for size in range(min(most, depth), 0, -1):
-                token = vocab.get(word[depth - size : depth] + mark)
-                if token is None or sizes[token] != size:
-                    continue
-                if (fit := fits.get((last[depth - size], token))) is None:
-                    fit = follows(last[depth - size], token)
-                if fit:
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no token ends {word[:depth]!r}")
-            if node in ends:
-                ids, at = [], depth
-                while at:
-                    ids.append(last[at])
-                    at -= sizes[last[at]]
-                out[ends[node]] = ids[::-1]
-            todo += [(n, depth + 1) for n in below[node].values()]
+        inner, final, longest, sizes = self.inner, self.final, self.longest, self.size
+        out: dict[str, list[int]] = {}
+        last = [-1]  # the last token of each prefix on the way to the word
+        before = ""
+        for word in sorted(words):
+            if not word:
+                out[word] = []
+                continue
+            end = len(word)
+            shared, most = 0, min(end, len(before)) - 1
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del last[shared + 1 :]
+            for depth in range(shared + 1, end):
+                last.append(self._last(word, depth, last, inner, longest))
+            token = self._last(word, end, last, final, self.final_longest)
+            ids, at = [token], end - sizes[token]
+            while at:
+                token = last[at]
+                ids.append(token)
+                at -= sizes[token]
+            out[word] = ids[::-1]
+            before = word
         return out
 
+    def _last(self, word: str, depth: int, last: list[int], tokens: dict[str, int], longest: dict[str, int]) -> int:
+        """The last token of word[:depth]: the one that ends there and goes with the last token of what is before it."""
+        fits = self.fits
+        for size in range(min(depth, longest.get(word[max(0, depth - 2) : depth], 1)), 0, -1):
+            token = tokens.get(word[depth - size : depth])
+            if token is not None:
+                pair = (last[depth - size], token)
+                if (fit := fits.get(pair)) is None:
+                    fit = self._follows(*pair)
+                if fit:
+                    return token
+        raise ValueError(f"no token ends {word[:depth]!r}")
+
     def pieces(self, chunk: str) -> list[str | int]:
         """A chunk without ASCII white space as words of the file's alphabet, and ids of added tokens."""
         if self.plain_split and "<|" not in chunk and _PLAIN.fullmatch(chunk):
@@ -194,41 +202,46 @@ class TrieBpe:
         return " ".join(t for i in ids if (t := self.token.get(int(i))) is not None)
 
 
-class ChunkCoder:
-    """Encodes whole texts chunk by chunk; remembers chunks.  White space never joins what it parts in these files."""
+class TextCoder:
+    """Encodes whole texts, remembering words.  Only for files that drop white space, which then parts what it stands between."""
 
     def __init__(self, path: str):
         self.bpe = TrieBpe(path)
         if self.bpe.suffix == "" or self.bpe.library.decoder is not None:
-            raise ValueError("texts are encoded chunk by chunk only where white space is dropped")
-        self.words: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[bytes, str]] = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > KEPT_CHUNKS:
-            self.words, self.known = {}, {}
-        new = {c: self.bpe.pieces(c) for c in chunks if c not in self.known}
-        self.words |= self.bpe.encode_words({w for ws in new.values() for w in ws if isinstance(w, str) and w not in self.words})
-        token = self.bpe.token
-        for chunk, pieces in new.items():
-            ids = list(chain.from_iterable([p] if isinstance(p, int) else self.words[p] for p in pieces))
-            self.known[chunk] = array("i", ids).tobytes(), " ".join([token[i] for i in ids])
+            raise ValueError("texts are encoded piece by piece only where white space is dropped")
+        self.known: dict[str | int, tuple[bytes, str]] = {}
+
+    def split(self, text: str) -> list[str | int]:
+        """A text's words in the file's alphabet, and ids of added tokens."""
+        plain = self.bpe.plain_split
+        if plain and "<|" not in text and _PLAIN_TEXT.fullmatch(text):
+            words = plain.findall(text.lower())
+            return words if text.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in words]
+        return list(chain.from_iterable(map(self.bpe.pieces, _CHUNK.findall(text))))
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        out_ids, out_text = [], []
-        for at in range(0, len(texts), 512):
-            part = [_CHUNK.findall(t) for t in texts[at : at + 512]]
-            self.learn(set(chain.from_iterable(part)))
-            for chunks in part:
-                coded = [self.known[c] for c in chunks]
-                out_ids.append(b"".join([c[0] for c in coded]))
-                out_text.append(" ".join([c[1] for c in coded if c[1]]))
+        """Each text's ids (little-endian, 32 bits) and its tokens joined by a space."""
+        out_ids, out_text, token = [], [], self.bpe.token
+        for at in range(0, len(texts), 1024):
+            part = list(map(self.split, texts[at : at + 1024]))
+            if len(self.known) > KEPT_WORDS:
+                self.known = {}
+            known = self.known
+            new = set(chain.from_iterable(part)).difference(known)
+            coded = self.bpe.encode_words({w for w in new if isinstance(w, str)})
+            for word in new:
+                ids = [word] if isinstance(word, int) else coded[word]
+                known[word] = array("i", ids).tobytes(), " ".join([token[i] for i in ids])
+            for words in part:
+                pairs = [known[w] for w in words]
+                out_ids.append(b"".join([p[0] for p in pairs]))
+                out_text.append(" ".join([p[1] for p in pairs]))
         return out_ids, out_text
 
 
 @lru_cache(maxsize=2)
-def coder(path: str) -> ChunkCoder:
-    return ChunkCoder(path)
+def coder(path: str) -> TextCoder:
+    return TextCoder(path)
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
