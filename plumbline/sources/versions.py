@@ -31,12 +31,16 @@ def default_tag(day: date | None = None) -> str:
     return f"v1.0-anonymized-{day or date.today():%Y%m%d}"
 
 
-def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """The latest entry of each tag."""
+def _entries(spark: SparkSession, root: str) -> DataFrame:
     try:
-        rows = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+        return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
     except AnalysisException:
         return spark.createDataFrame([], MANIFEST)
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The latest entry of each tag."""
+    rows = _entries(spark, root)
     return rows.groupBy("tag").agg(F.max_by(F.struct("created_at", "rows", "columns", "fingerprint", "message", "folder"), "created_at").alias("e")).select("tag", "e.*")
 
 
@@ -45,7 +49,7 @@ def write_version(df: DataFrame, root: str, tag: str | None = None, message: str
     spark = df.sparkSession
     tag = tag or default_tag()
     rows, mark = _mark(df)
-    same = manifest(spark, root).where(F.col("fingerprint") == mark).agg(F.min("folder")).first()[0]
+    same = _entries(spark, root).where(F.col("fingerprint") == mark).agg(F.min("folder")).first()[0]
     now = datetime.now(timezone.utc)
     folder = same or f"version={tag}-{now:%Y%m%d%H%M%S%f}"
     if same is None:
