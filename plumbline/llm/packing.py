@@ -11,6 +11,7 @@ Every task packs its own rows, `pool` examples at a time: no shuffle, bounded me
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -26,18 +27,24 @@ from pyspark.sql import functions as F
 from plumbline.functions.shipping import ship_package
 from plumbline.llm.common import text_or_empty
 
-KEPT_WORDS = 900_000
+KEPT_WORDS = 1_300_000
 _GAP = re.compile(r"(?<=\S) (?=\S)")
+#: White space that isn't a single space or line feed between two other characters.
+_WIDE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+_SPACE = re.compile(r"\s")
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_MARKS = frozenset(".,")
 
 
 class WordIds:
     """Token ids of whole texts by the tokenizers library, which is asked once for each distinct word.
 
-    Byte-level files start a new piece at a single space between two characters that are not white space, so a text's
-    ids are those of its parts, each with its space.
+    Byte-level files start a new piece at a single space or line feed between two characters that are not white space,
+    so a text's ids are those of its parts: a word with its space, a line feed, and what other white space keeps together.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -46,21 +53,45 @@ class WordIds:
         pre = self.library.pre_tokenizer
         if self.library.normalizer is not None or type(pre).__name__ != "ByteLevel" or pre.add_prefix_space or not pre.use_regex:
             raise ValueError("a plain byte-level file is needed")
-        self.known: dict[str, bytes] = {}
+        (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
+        self.bare: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
+        """Ask the library for words with `lead` before them; one mark after plain letters is a piece of its own."""
+        new = words.difference(known)
+        marked = [w for w in new if w[-1:] in _MARKS and _LETTERS.fullmatch(w, 0, len(w) - 1)]
+        ask = list({w[:-1] for w in marked}.difference(known).union(new.difference(marked)))
+        spread = [w for w in ask if not w.isalnum() and _SPACE.search(w)]
+        for word, code in zip(spread, self.library.encode_batch_fast([lead + w for w in spread], add_special_tokens=False), strict=True):
+            known[word] = array("I", code.ids).tobytes()
+        if spread:
+            ask = list(set(ask).difference(spread))
+        # many words at a time, one a line: a line feed is always a piece and an id of its own
+        texts = [("\n" + lead).join(ask[at : at + 1000]) for at in range(0, len(ask), 1000)]
+        for at, code in enumerate(self.library.encode_batch_fast([lead + t for t in texts], add_special_tokens=False)):
+            ids = np.array(code.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(ask[1000 * at : 1000 * (at + 1)], (4 * ends).tolist(), strict=True):
+                known[word] = raw[start:end]
+                start = end + 4
+        for mark in {w[-1] for w in marked}.difference(self.bare):
+            self.bare[mark] = array("I", self.library.encode(mark, add_special_tokens=False).ids).tobytes()
+        for word in marked:
+            known[word] = known[word[:-1]] + self.bare[word[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        parts = []
-        for text in texts:
-            first, *rest = _GAP.split(text)
-            parts.append([first, *[" " + w for w in rest]])
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known = self.known
-        new = [w for w in set(chain.from_iterable(parts)) if w not in known]
-        for word, code in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = array("I", code.ids).tobytes()
-        return [b"".join([known[w] for w in words]) for words in parts]
+        if len(self.bare) + len(self.spaced) > KEPT_WORDS:
+            self.bare, self.spaced = {}, {}
+        split = [[line.split(" ") for line in text.split("\n")] if not _WIDE.search(text) else [_GAP.split(text)] for text in texts]
+        self.bare["\n"] = array("I", [self.feed]).tobytes()
+        self._learn(self.bare, {*(line[0] for lines in split for line in lines)}, "")
+        self._learn(self.spaced, set(chain.from_iterable(line[1:] for lines in split for line in lines)), " ")
+        bare, spaced = self.bare, self.spaced
+        feed = bare["\n"]
+        return [feed.join([bare[line[0]] + b"".join([spaced[w] for w in line[1:]]) for line in lines]) for lines in split]
 
 
 @lru_cache(maxsize=2)
