@@ -44,7 +44,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = re.sub(r"(?<![\w\"'])(column|distinct)(?![\w\"']| ON| [a-z]+ ORDER)", r'"\1"', sql)  # reserved words
+            ORACLE_SQL[f.__name__] = re.sub(r"(?<![\w\"'])(column|distinct)(?![\w\"'])", r'"\1"', sql)  # reserved words
         return f
 
     return add
