@@ -72,6 +72,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     )
     perhaps = probed.where("maybe").select("doc_id", "row", "text_sha256")
     groups = perhaps.groupBy("text_sha256").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    groups = durable(groups, "exact-dedup-groups")  # a shuffle of its own, so that the join can split a hot group's rows
     met = perhaps.join(groups, "text_sha256").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256"
     )
