@@ -93,3 +93,24 @@ def long_form(df: DataFrame, parts: dict[str, dict[str, Column]], key: str = "co
         long = row.select(F.explode(cells).alias("r")).select("r.*")
         out = long if out is None else out.unionByName(long)
     return out
+
+
+def long_forms(df: DataFrame, requests: list[tuple[dict[str, dict[str, Column]], str]]) -> list[DataFrame]:
+    """What long_form() gives for each (parts, key), all of them by one pass over df; the aggregates' row is collected."""
+    flat = [(r, k, n, e) for r, (parts, _) in enumerate(requests) for k, es in parts.items() for n, e in es.items()]
+    if not flat:
+        raise ValueError("nothing to aggregate")
+    found: dict[tuple, object] = {}
+    types: dict[tuple, T.DataType] = {}
+    for at in range(0, len(flat), 400):  # wider tables take a pass for each 400 aggregates
+        some = flat[at : at + 400]
+        row = df.agg(*[e.alias(f"v{i}") for i, (_, _, _, e) in enumerate(some)])
+        values = row.first()
+        for i, (r, k, n, _) in enumerate(some):
+            found[r, k, n], types[r, n] = values[i], row.schema[i].dataType
+    out = []
+    for r, (parts, key) in enumerate(requests):
+        names = list(next(iter(parts.values()), {}))
+        schema = T.StructType([T.StructField(key, T.StringType()), *[T.StructField(n, types[r, n]) for n in names]]) if parts else T.StructType([T.StructField(key, T.StringType())])
+        out.append(df.sparkSession.createDataFrame([(k, *[found[r, k, n] for n in names]) for k in parts], schema))
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.values import col, is_missing, kinds, long_form, number, number_like_columns, numeric_columns, quoted
+from plumbline.functions.values import col, is_missing, kinds, long_form, long_forms, number, number_like_columns, numeric_columns, quoted
 
 # The range of plausible values by a word in the column's name; words of columns that can't be negative;
 # pairs of columns of which the first can't be before the second.
@@ -21,6 +21,7 @@ WIDEST_AGE_GROUP = 30
 LEAST_VALUES = 10
 SKEW_WARNS_ABOVE = 3.0
 
+Parts = dict[str, dict[str, Column]]  # aggregates by name, of each column or rule
 RESULT = "name string, status string, message string, value double, threshold double, details string"
 
 
@@ -32,11 +33,14 @@ class QualityConfig:
     row_id: str | None = None
 
 
-def missing_rates(df: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
+def _missing_parts(df: DataFrame, but: tuple[str, ...] = ()) -> Parts:
+    return {c: {"missing": F.count_if(is_missing(df, c)), "rows": F.count(F.lit(1))} for c in df.columns if c not in but}
+
+
+def missing_rates(df: DataFrame, but: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
     """(column, missing, rows, rate) of every column, in one pass."""
-    parts = {c: {"missing": F.count_if(is_missing(df, c)), "rows": F.count(F.lit(1))} for c in df.columns if c not in but}
     rate = F.when(F.col("rows") > 0, F.col("missing") / F.col("rows")).otherwise(F.lit(0.0))
-    return long_form(df, parts).withColumn("rate", rate)
+    return (long_form(df, _missing_parts(df, but)) if counted is None else counted).withColumn("rate", rate)
 
 
 def _details(rows: DataFrame, *names: str) -> Column:
@@ -51,11 +55,11 @@ def _result(table: DataFrame, name: str, status: Column, message: Column, value:
     )
 
 
-def check_missing(df: DataFrame, threshold: float = 0.15) -> DataFrame:
+def check_missing(df: DataFrame, threshold: float = 0.15, counted: DataFrame | None = None) -> DataFrame:
     """Fails from a rate of 0.30, warns above the threshold; a table without columns passes."""
     if not df.columns:
         return df.sparkSession.createDataFrame([("missing_values", "pass", "no columns", 0.0, float(threshold), "[]")], RESULT)
-    rates = missing_rates(df)
+    rates = missing_rates(df, counted=counted)
     above = F.col("rate") > threshold
     row = rates.agg(
         F.count_if(above).alias("bad"), F.max("rate").alias("top"), _details(rates, "column", "rate").alias("every"),
@@ -87,7 +91,12 @@ def domain_pairs(df: DataFrame, custom_rules: dict[str, tuple[float, float]] | N
     return [(c, rule, float(low), float(high)) for rule, (low, high) in rules.items() for c in number_like_columns(df) if rule in c.lower()]
 
 
-def domain_violations(df: DataFrame, custom_rules: dict[str, tuple[float, float]] | None = None, row_id: str | None = None, examples: int = 3) -> DataFrame:
+def _domain_parts(df: DataFrame, custom_rules: dict[str, tuple[float, float]] | None) -> Parts:
+    pairs = enumerate(domain_pairs(df, custom_rules))
+    return {str(i): {"count": F.count_if((number(df, c) < low) | (number(df, c) > high))} for i, (c, _, low, high) in pairs}
+
+
+def domain_violations(df: DataFrame, custom_rules: dict[str, tuple[float, float]] | None = None, row_id: str | None = None, examples: int = 3, counted: DataFrame | None = None) -> DataFrame:
     """(column, rule, low, high, count, examples) of columns with values outside their range; missing values aren't.
 
     A column that violates two rules keeps the later one.  examples are the first values in the order of row_id.
@@ -96,11 +105,7 @@ def domain_violations(df: DataFrame, custom_rules: dict[str, tuple[float, float]
     schema = "column string, rule string, low double, high double, count long, examples array<double>"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    parts = {}
-    for i, (c, _, low, high) in enumerate(pairs):
-        outside = (number(df, c) < low) | (number(df, c) > high)
-        parts[str(i)] = {"count": F.count_if(outside)}
-    counts = long_form(df, parts, "pair")
+    counts = long_form(df, _domain_parts(df, custom_rules), "pair") if counted is None else counted
     cells = F.create_map(*[x for i, p in enumerate(pairs) for x in (F.lit(str(i)), F.struct(F.lit(p[0]).alias("column"), F.lit(p[1]).alias("rule"), F.lit(p[2]).alias("low"), F.lit(p[3]).alias("high"), F.lit(i).alias("at")))])
     hit = counts.where("count > 0").select(cells[F.col("pair")].alias("p"), "count").select("p.*", "count")
     last = hit.groupBy("column").agg(F.max_by(F.struct("rule", "low", "high", "count"), "at").alias("r")).select("column", "r.*")
@@ -124,9 +129,9 @@ def domain_violations(df: DataFrame, custom_rules: dict[str, tuple[float, float]
     return last.join(lists, ["column", "rule"]).select("column", "rule", "low", "high", "count", "examples")
 
 
-def check_domain(df: DataFrame, custom_rules: dict[str, tuple[float, float]] | None = None, row_id: str | None = None) -> DataFrame:
+def check_domain(df: DataFrame, custom_rules: dict[str, tuple[float, float]] | None = None, row_id: str | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Warns if any column has values outside its range."""
-    found = domain_violations(df, custom_rules, row_id)
+    found = domain_violations(df, custom_rules, row_id, counted=counted)
     row = found.agg(F.count(F.lit(1)).alias("n"), _details(found, "column", "rule", "low", "high", "count", "examples").alias("details"))
     return _result(row, "domain", F.when(F.col("n") == 0, "pass").otherwise("warn"), F.format_string("%d columns with values outside their range", "n"), F.col("n"), None, F.col("details"))
 
@@ -136,19 +141,25 @@ def _moment(df: DataFrame, name: str) -> Column:
     return col(name).cast("timestamp") if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType) else F.try_to_timestamp(col(name).cast("string"))
 
 
-def date_order_violations(df: DataFrame) -> DataFrame:
+def _date_parts(df: DataFrame) -> Parts:
+    parts = {}
+    for a, b in DATE_PAIRS:
+        if a in df.columns and b in df.columns:
+            bad = (col(a).isNotNull() & _moment(df, a).isNull()) | (col(b).isNotNull() & _moment(df, b).isNull())
+            parts[a] = {"count": F.count_if(_moment(df, a) < _moment(df, b)), "bad": F.count_if(bad)}
+    return parts
+
+
+def date_order_violations(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """(issue, column, count): rows in which the first date of a pair is before the second.
 
     A missing date never counts; a pair with a value that can't be parsed gives no row.
     """
-    pairs = [(a, b) for a, b in DATE_PAIRS if a in df.columns and b in df.columns]
-    if not pairs:
+    parts = _date_parts(df)
+    if not parts:
         return df.sparkSession.createDataFrame([], "issue string, column string, count long")
-    parts = {}
-    for a, b in pairs:
-        bad = (col(a).isNotNull() & _moment(df, a).isNull()) | (col(b).isNotNull() & _moment(df, b).isNull())
-        parts[a] = {"count": F.count_if(_moment(df, a) < _moment(df, b)), "bad": F.count_if(bad)}
-    return long_form(df, parts).where("bad = 0 and count > 0").select(F.lit("date_order").alias("issue"), "column", "count")
+    counts = long_form(df, parts) if counted is None else counted
+    return counts.where("bad = 0 and count > 0").select(F.lit("date_order").alias("issue"), "column", "count")
 
 
 def age_group_spread(df: DataFrame) -> DataFrame:
@@ -160,26 +171,29 @@ def age_group_spread(df: DataFrame) -> DataFrame:
     return spread.where(F.col("spread") > WIDEST_AGE_GROUP)
 
 
-def negative_values(df: DataFrame) -> DataFrame:
+def _negative_parts(df: DataFrame) -> Parts:
+    return {f"{c}|{w}": {"count": F.count_if(number(df, c) < 0)} for w in POSITIVE_WORDS for c in number_like_columns(df) if w in c.lower()}
+
+
+def negative_values(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """(issue, column, word, count) of columns that can't be negative and are; once for each word in the name."""
-    pairs = [(c, w) for w in POSITIVE_WORDS for c in number_like_columns(df) if w in c.lower()]
-    if not pairs:
+    parts = _negative_parts(df)
+    if not parts:
         return df.sparkSession.createDataFrame([], "issue string, column string, word string, count long")
-    parts = {f"{c}|{w}": {"count": F.count_if(number(df, c) < 0), "at": F.max(F.lit(i))} for i, (c, w) in enumerate(pairs)}
-    rows = long_form(df, parts).where("count > 0")
-    return rows.select(F.lit("negative").alias("issue"), F.element_at(F.split("column", r"\|"), 1).alias("column"), F.element_at(F.split("column", r"\|"), -1).alias("word"), "count")
+    rows = (long_form(df, parts) if counted is None else counted).where("count > 0")
+    return rows.select(F.lit("negative").alias("issue"), F.regexp_extract("column", r"(?s)^(.*)\|[^|]*$", 1).alias("column"), F.element_at(F.split("column", r"\|"), -1).alias("word"), "count")
 
 
-def consistency_issues(df: DataFrame) -> DataFrame:
+def consistency_issues(df: DataFrame, dates_counted: DataFrame | None = None, negatives_counted: DataFrame | None = None) -> DataFrame:
     """(issue, subject, value) of date order, age groups and negatives, in that order of kind."""
-    dates = date_order_violations(df).select("issue", F.col("column").alias("subject"), F.col("count").cast("double").alias("value"))
+    dates = date_order_violations(df, dates_counted).select("issue", F.col("column").alias("subject"), F.col("count").cast("double").alias("value"))
     ages = age_group_spread(df).select(F.lit("age_group").alias("issue"), F.col("age_group").alias("subject"), F.col("spread").alias("value"))
-    negatives = negative_values(df).select("issue", F.concat_ws("|", "column", "word").alias("subject"), F.col("count").cast("double").alias("value"))
+    negatives = negative_values(df, negatives_counted).select("issue", F.concat_ws("|", "column", "word").alias("subject"), F.col("count").cast("double").alias("value"))
     return dates.unionByName(ages).unionByName(negatives)
 
 
-def check_consistency(df: DataFrame) -> DataFrame:
-    issues = consistency_issues(df)
+def check_consistency(df: DataFrame, dates_counted: DataFrame | None = None, negatives_counted: DataFrame | None = None) -> DataFrame:
+    issues = consistency_issues(df, dates_counted, negatives_counted)
     row = issues.agg(F.count(F.lit(1)).alias("n"), _details(issues, "issue", "subject", "value").alias("details"))
     return _result(row, "consistency", F.when(F.col("n") == 0, "pass").otherwise("warn"), F.format_string("%d issues", "n"), F.col("n"), None, F.col("details"))
 
@@ -192,19 +206,23 @@ def moments(df: DataFrame, name: str) -> dict[str, Column]:
     return {"n": n, "mean": F.avg(v), "std": F.stddev_samp(v), "skewness": F.when(F.stddev_pop(v) == 0, F.lit(0.0)).otherwise(adjusted)}
 
 
-def distribution_stats(df: DataFrame, but: tuple[str, ...] = (), digits: int = 3) -> DataFrame:
+def _moment_parts(df: DataFrame, but: tuple[str, ...] = ()) -> Parts:
+    return {c: moments(df, c) for c in numeric_columns(df) if c not in but}
+
+
+def distribution_stats(df: DataFrame, but: tuple[str, ...] = (), digits: int = 3, counted: DataFrame | None = None) -> DataFrame:
     """(column, n, mean, std, skewness, cv) of numeric columns with ten values or more, rounded."""
-    names = [c for c in numeric_columns(df) if c not in but]
-    if not names:
+    parts = _moment_parts(df, but)
+    if not parts:
         return df.sparkSession.createDataFrame([], "column string, n long, mean double, std double, skewness double, cv double")
-    rows = long_form(df, {c: moments(df, c) for c in names}).where(F.col("n") >= LEAST_VALUES)
+    rows = (long_form(df, parts) if counted is None else counted).where(F.col("n") >= LEAST_VALUES)
     rows = rows.withColumn("cv", F.when(F.col("mean") == 0, F.lit(0.0)).otherwise(F.col("std") / F.col("mean")))
     return rows.select("column", "n", *[F.round(c, digits).alias(c) for c in ("mean", "std", "skewness", "cv")])
 
 
-def distribution_warnings(df: DataFrame, drift_threshold: float = 0.3, but: tuple[str, ...] = ()) -> DataFrame:
+def distribution_warnings(df: DataFrame, drift_threshold: float = 0.3, but: tuple[str, ...] = (), counted: DataFrame | None = None) -> DataFrame:
     """(column, warning, value): |skewness| above 3; cv above five thresholds (a negative mean never warns)."""
-    rows = distribution_stats(df, but, 12)
+    rows = distribution_stats(df, but, 12, counted)
     found = F.array_compact(
         F.array(
             F.when(F.abs("skewness") > SKEW_WARNS_ABOVE, F.struct(F.lit("skewness").alias("warning"), F.round("skewness", 3).alias("value"))),
@@ -214,17 +232,26 @@ def distribution_warnings(df: DataFrame, drift_threshold: float = 0.3, but: tupl
     return rows.select("column", F.explode(found).alias("w")).select("column", "w.warning", "w.value")
 
 
-def check_distribution(df: DataFrame, drift_threshold: float = 0.3) -> DataFrame:
-    found = distribution_warnings(df, drift_threshold)
+def check_distribution(df: DataFrame, drift_threshold: float = 0.3, counted: DataFrame | None = None) -> DataFrame:
+    found = distribution_warnings(df, drift_threshold, counted=counted)
     row = found.agg(F.count(F.lit(1)).alias("n"), _details(found, "column", "warning", "value").alias("details"))
     return _result(row, "distribution", F.when(F.col("n") == 0, "pass").otherwise("warn"), F.format_string("%d warnings", "n"), F.col("n"), drift_threshold, F.col("details"))
 
 
 def verify(df: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """The five checks' results, one row each."""
+    """The five checks' results, one row each.
+
+    One pass over df counts for four of them (wide tables take more); duplicates, age groups and examples of values
+    outside their range, where there are any, read it again.
+    """
+    requests = [
+        (_missing_parts(df), "column"), (_domain_parts(df, config.domain_rules), "pair"), (_date_parts(df), "column"), (_negative_parts(df), "column"), (_moment_parts(df), "column"),
+    ]
+    missing, domain, dates, negatives, moments_ = long_forms(df, requests) if df.columns else [None] * 5
+    row_id = config.row_id if domain is not None and "count" in domain.columns and not domain.where("count > 0").isEmpty() else None
     checks = [
-        check_missing(df, config.missing_threshold), check_duplicates(df), check_domain(df, config.domain_rules, config.row_id),
-        check_consistency(df), check_distribution(df, config.drift_threshold),
+        check_missing(df, config.missing_threshold, missing), check_duplicates(df), check_domain(df, config.domain_rules, row_id, domain),
+        check_consistency(df, dates, negatives), check_distribution(df, config.drift_threshold, moments_),
     ]
     out = checks[0]
     for c in checks[1:]:
