@@ -110,13 +110,13 @@ def _answers(key: tuple, left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.
     return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
-def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 20_000, query_rows: int = 2_000, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 4_000, query_rows: int = 2_000, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products over all rows but its own id.
 
     Fewer than k if there are fewer; ties go to the smaller vec_id.  Vectors that are null, empty, or hold null or
     non-finite components take no part; vectors of another length than the query's aren't scored.  Rows that repeat a
     vec_id and vector are one.  A shard holds about shard_rows candidates and meets query_rows queries at a time.
-    Other columns are ignored, so their names can't clash.  Empty tables give an empty result.
+    Scores have to fit a long.  Other columns are ignored, so their names can't clash.  Empty tables give an empty result.
     """
     spark = embeddings.sparkSession
     ship_package(spark)
