@@ -14,7 +14,6 @@ import re
 from array import array
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.shipping import ship_package
-from plumbline.llm.common import text_or_empty
+from plumbline.llm.common import held_by_worker, text_or_empty
 
 #: Words that a worker keeps; beyond that it forgets all and starts again.
 KEPT_WORDS = 600_000
@@ -239,9 +238,8 @@ class TextCoder:
         return out_ids, out_text
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> TextCoder:
-    return TextCoder(path)
+    return held_by_worker(("bpe", path), lambda: TextCoder(path))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

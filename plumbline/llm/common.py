@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +23,14 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+_held: dict[Hashable, object] = {}
+
+
+def held_by_worker[X](key: Hashable, make: Callable[[], X]) -> X:
+    """What a Python worker keeps from one task to the next: one thing at a time, so that operators don't pile up memory."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -10,6 +10,7 @@ by word, so that the transitions see switches.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.shipping import ship_package
-from plumbline.llm.common import text_or_empty
+from plumbline.llm.common import held_by_worker, text_or_empty
 from plumbline.llm.wordfeatures import HAS_LETTER, WordScores, blocks, features, words_of
 
 BITS = 16
 PREFIXES, SUFFIXES, GRAMS = (1, 2, 3), (1, 2, 3), (2, 3)
 UNKNOWN = "und"
-BLOCK_WORDS = 300_000
+BLOCK_WORDS = 100_000
 #: Training sequences, and words in each.
 SEQUENCES, SEQUENCE_WORDS = 3000, 48
 
@@ -224,15 +225,16 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     """
     spark = docs.sparkSession
     ship_package(spark)
+    name = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast(model)  # 2**16 rows of weights and a sample's lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine: Model = shared.value
         k = len(mine.languages)
-        scores = WordScores(lambda words: _emission(words, mine), k) if k else None
+        scores = held_by_worker(("language", name), lambda: WordScores(lambda words: _emission(words, mine), k)) if k else None
         for batch in batches:
             names, sure, turns = [], [], []
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for block in blocks(texts, BLOCK_WORDS) if k else []:
                 size = np.array([len(words) for words in block])
                 ends = np.cumsum(size)
@@ -249,7 +251,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                 turns += list((change[ends] - change[begins]).astype("int32"))
             if not k:
                 names, sure, turns = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
-            bare = [HAS_LETTER.search(t) is None for t in texts]
+            bare = [HAS_LETTER.search(t.as_py()) is None for t in texts]
             names = [UNKNOWN if x else n for x, n in zip(bare, names, strict=True)]
             sure = [0.0 if x else s for x, s in zip(bare, sure, strict=True)]
             columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(sure, pa.float64()), pa.array(turns, pa.int32())]

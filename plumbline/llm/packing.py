@@ -15,7 +15,6 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.shipping import ship_package
-from plumbline.llm.common import text_or_empty
+from plumbline.llm.common import held_by_worker, text_or_empty
 
-KEPT_WORDS = 1_300_000
+KEPT_WORDS = 1_000_000
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: White space that isn't a single space or line feed between two other characters.
 _WIDE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
@@ -94,9 +93,8 @@ class WordIds:
         return [feed.join([bare[line[0]] + b"".join([spaced[w] for w in line[1:]]) for line in lines]) for lines in split]
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held_by_worker(("packing", path), lambda: WordIds(path))
 
 
 def pack(sizes: np.ndarray, limits: tuple[int, int, int], cut: bool) -> list[list[tuple[int, int, int]]]:

@@ -11,6 +11,7 @@ don't use, the more severe).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.shipping import ship_package
-from plumbline.llm.common import text_or_empty
+from plumbline.llm.common import held_by_worker, text_or_empty
 from plumbline.llm.wordfeatures import WordScores, blocks, features, words_of
 
 BITS = 18
@@ -29,7 +30,7 @@ PREFIXES, SUFFIXES, GRAMS = (3, 4, 5, 6), (3,), ()
 SCALE = 100.0
 #: Added to a document's number of words, so that one word of a very short text doesn't decide alone.
 PRIOR_WORDS = 5
-BLOCK_WORDS = 300_000
+BLOCK_WORDS = 100_000
 
 
 @dataclass
@@ -153,14 +154,15 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     """Per row: doc_id, severity (expected grade), grade (the likeliest), p_toxic (of a grade above 0), from whole texts."""
     spark = docs.sparkSession
     ship_package(spark)
+    name = uuid.uuid4().hex
     shared = spark.sparkContext.broadcast((model.weights, model.thresholds))  # 2**18 floats, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, cuts = shared.value
-        scores = WordScores(lambda words: word_weights(words, weights)[:, None], 1)
+        scores = held_by_worker(("toxicity", name), lambda: WordScores(lambda words: word_weights(words, weights)[:, None], 1))
         for batch in batches:
             parts = []
-            for block in blocks(batch.column("text").to_pylist(), BLOCK_WORDS):
+            for block in blocks(batch.column("text"), BLOCK_WORDS):
                 size = np.array([len(words) for words in block])
                 summed = np.cumsum(np.concatenate([[0.0], scores.of(list(chain.from_iterable(block)))[:, 0]]))
                 ends = np.cumsum(size)

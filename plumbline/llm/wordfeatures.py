@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 #: Runs of letters; marks that combine with a letter belong to it.
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 HAS_LETTER = regex.compile(r"\p{L}")
 #: Distinct words that a worker keeps scored; beyond that it forgets all and starts again.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,18 +87,18 @@ class WordScores:
                 grown = np.zeros((2 * (first + len(new)), self.width))
                 grown[:first] = self.rows[:first]
                 self.rows = grown
-            for at in range(0, len(new), 50_000):
-                part = new[at : at + 50_000]
+            for at in range(0, len(new), 10_000):
+                part = new[at : at + 10_000]
                 self.rows[first + at : first + at + len(part)] = self.score(part)
             self.place.update(zip(new, range(first, first + len(new)), strict=True))
         return self.rows[np.fromiter(map(self.place.__getitem__, words), "int64", len(words))]
 
 
-def blocks(texts: list[str], most: int) -> Iterator[list[list[str]]]:
+def blocks(texts: pa.Array, most: int) -> Iterator[list[list[str]]]:
     """The texts' words, whole texts together, in blocks of about `most` words; a longer text is a block of its own."""
     held, size = [], 0
     for text in texts:
-        words = words_of(text)
+        words = words_of(text.as_py())
         if held and size + len(words) > most:
             yield held
             held, size = [], 0
