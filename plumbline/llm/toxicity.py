@@ -57,7 +57,7 @@ def _log_loss(score: np.ndarray, grade: np.ndarray, cuts: np.ndarray) -> tuple[n
 def _telling(docs: list[tuple[np.ndarray, np.ndarray]], table: tuple[np.ndarray, np.ndarray, int], toxic: np.ndarray, least_gain: float) -> np.ndarray:
     """Which features' documents are toxic so much more or less often than others that chance won't explain it.
 
-    By the log-likelihood ratio of two proportions; 20 is about one in 130,000 by chance.
+    By the log-likelihood ratio of two proportions; 8 is about one in 200 by chance.
     """
     feature, word, n_words = table
     order = np.argsort(word, kind="stable")
@@ -123,7 +123,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     return [(r["text"], r["toxic"], max(1.0, counts[r["toxic"]] / half)) for r in rows.limit(2 * max_fit_rows).collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_fit_rows: int = 6000, steps: int = 150, penalty: float = 1e-4, least_gain: float = 20.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_fit_rows: int = 6000, steps: int = 150, penalty: float = 1e-4, least_gain: float = 8.0) -> Model:
     """Fit on a sample of labelled documents, max_fit_rows at most.  Without both classes no document is held toxic."""
     return fit_rows(sorted(sample_labelled(docs, labels, doc_id, text, max_fit_rows)), steps, penalty, least_gain)
 
