@@ -28,13 +28,17 @@ from plumbline.llm.common import held_by_worker, text_or_empty
 
 KEPT_WORDS = 1_000_000
 _GAP = re.compile(r"(?<=\S) (?=\S)")
-#: White space that isn't a single space or line feed between two other characters.
-_WIDE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+#: Signs of white space that isn't a single space or line feed between two other characters.
+_WIDE = ["  ", "\n\n", " \n", "\n ", *[c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]]
 _SPACE = re.compile(r"\s")
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _MARKS = frozenset(".,")
 
 
+def _wide(text: str) -> bool:
+    return not text or text[0] in " \n" or text[-1] in " \n" or any(sign in text for sign in _WIDE)
+
+
 class WordIds:
     """Token ids of whole texts by the tokenizers library, which is asked once for each distinct word.
 
@@ -84,7 +88,7 @@ class WordIds:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         if len(self.bare) + len(self.spaced) > KEPT_WORDS:
             self.bare, self.spaced = {}, {}
-        split = [[line.split(" ") for line in text.split("\n")] if not _WIDE.search(text) else [_GAP.split(text)] for text in texts]
+        split = [[line.split(" ") for line in text.split("\n")] if not _wide(text) else [_GAP.split(text)] for text in texts]
         self.bare["\n"] = array("I", [self.feed]).tobytes()
         self._learn(self.bare, {*(line[0] for lines in split for line in lines)}, "")
         self._learn(self.spaced, set(chain.from_iterable(line[1:] for lines in split for line in lines)), " ")
