@@ -26,7 +26,7 @@ from plumbline.functions.shipping import ship_package
 from plumbline.llm.common import held_by_worker, text_or_empty
 
 #: Words that a worker keeps; beyond that it forgets all and starts again.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 KEPT_PAIRS = 1_000_000
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 #: Printable characters below U+0100: their normal form, case and classes are the same in every Unicode version.
