@@ -1,20 +1,25 @@
 """Line dedup by pairwise alignment.
 
-A line's partner is the earliest document that holds a line of the same hash: a line that a million documents share names
-a million pairs, not their square, and each shared line's first copy stays.  For each pair the shared lines are aligned by
-patience diff: lines that are rare (once in the pair) anchor the longest chain that keeps the order of both documents,
-chains of the lines that are left follow until none is left, and a repeated line goes to its first place.  Runs of
-aligned lines are deleted from the later document if they hold enough words; what moves between documents are line hashes
-and positions, never texts.
+A document's partners are the earliest document that holds each of its lines, and the earliest that holds each stretch of
+lines just long enough to be deleted: a line that a million documents share names a million pairs, not their square, and
+a whole copy meets its original even if every line stood elsewhere before.  For each pair all shared lines are aligned by
+patience diff: lines that are rare (once in each document of the pair) anchor the longest chain that keeps the order of
+both, chains of what crosses follow until none is left, and repeated lines are hung on the chains beside them.  A run of
+lines that follow each other in the later document, of one pair and one chain and rising in the earlier document, is
+deleted if it holds enough words; what moves between documents are line hashes and positions, never texts.
+
+repeated_blocks() and what is called without `aligned` follow the older rule: a run's lines may come from any documents in
+any order.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +60,12 @@ def align(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
         chains.append(chain)
         taken = set(chain)
         rare = [p for p in rare if p not in taken]
-        if len(chains) == 8 and rare:  # what crosses so often is dealt line by line
-            chains += [[p] for p in rare]
+        if len(chains) == 8 and rare:  # what crosses so often is dealt by stretches that rise
+            for at, earlier in rare:
+                if chains[8:] and chains[-1][-1][0] + 1 == at and chains[-1][-1][1] < earlier:
+                    chains[-1].append((at, earlier))
+                else:
+                    chains.append([(at, earlier)])
             rare = []
     return chains + [[p] for p in sorted(pairs) if times[p[1]] > 1]
 
@@ -83,6 +92,86 @@ def repeated_runs(lines: list[dict], min_words: int) -> list[dict]:
     return [r for r in runs if r["words"] >= min_words]
 
 
+def aligned_places(lines: list[dict]) -> dict[int, tuple[int, int]]:
+    """{at: (chain, earlier line)} for one pair.  lines: the later document's shared lines by `at` (at, hash, ats: the
+    line's places in the earlier document, rising)."""
+    times = Counter(x["hash"] for x in lines)
+    found, members = {}, []
+    for number, chain in enumerate(align([(x["at"], x["ats"][0]) for x in lines if times[x["hash"]] == 1 and len(x["ats"]) == 1])):
+        members.append(chain)
+        found |= {at: (number, earlier) for at, earlier in chain}
+    for x in lines:  # repeated lines after a line of a chain, before the chain's next
+        if x["at"] not in found and x["at"] - 1 in found:
+            chain, earlier = found[x["at"] - 1]
+            spot, after = bisect_right(x["ats"], earlier), bisect_right(members[chain], (x["at"], -1))
+            if spot < len(x["ats"]) and (after == len(members[chain]) or x["ats"][spot] < members[chain][after][1]):
+                found[x["at"]] = chain, x["ats"][spot]
+                members[chain].insert(after, (x["at"], x["ats"][spot]))
+    for x in reversed(lines):  # and before one, after the chain's last
+        if x["at"] not in found and x["at"] + 1 in found:
+            chain, earlier = found[x["at"] + 1]
+            spot, after = bisect_left(x["ats"], earlier) - 1, bisect_left(members[chain], (x["at"], -1))
+            if spot >= 0 and (after == 0 or x["ats"][spot] > members[chain][after - 1][1]):
+                found[x["at"]] = chain, x["ats"][spot]
+                members[chain].insert(after, (x["at"], x["ats"][spot]))
+    first, number = len(members), len(members)
+    for x in lines:  # the others: stretches of their own, each line at its first place that rises
+        if x["at"] not in found:
+            chain, earlier = found.get(x["at"] - 1, (-1, -1))
+            spot = bisect_right(x["ats"], earlier) if chain >= first else len(x["ats"])
+            if spot < len(x["ats"]):
+                found[x["at"]] = chain, x["ats"][spot]
+            else:
+                found[x["at"]] = number, x["ats"][0]
+                number += 1
+    return found
+
+
+def aligned_runs(lines: list[dict], min_words: int) -> list[dict]:
+    """Runs to delete from one document, none of whose lines is in two.  lines: (source, source_body, at, place, words,
+    hash, ats) for each line that it shares with each of its partners."""
+    by_source = defaultdict(list)
+    for line in lines:
+        by_source[line["source"], line["source_body"]].append(line)
+    runs = []
+    for (source, body), shared in by_source.items():
+        shared.sort(key=lambda x: x["at"])
+        found = aligned_places(shared)
+        run, last = [], (-1, -1, -1)
+        for line in shared:
+            chain, earlier = found[line["at"]]
+            if not (last[0] + 1 == line["at"] and last[1] == chain and last[2] < earlier):
+                run = []
+                runs.append((source, body, earlier, run))
+            run.append(line)
+            last = line["at"], chain, earlier
+    runs = [r for r in runs if sum(x["words"] for x in r[3]) >= min_words]
+    out, gone = [], set()
+    for source, _, earlier, run in sorted(runs, key=lambda r: (r[3][0]["at"], -len(r[3]), r[0], r[1])):
+        rest = [x for x in run if x["at"] not in gone]
+        gone |= {x["at"] for x in rest}
+        if rest:
+            out.append({"places": [x["place"] for x in rest], "words": sum(x["words"] for x in rest), "source": source, "source_at": earlier})
+    return out
+
+
+def stretches(lines: list[dict], min_words: int) -> set[tuple[int, ...]]:
+    """Hashes of two lines or more that follow each other (at, hash, words), hold min_words and wouldn't without the last,
+    or without the first.  A run of enough words is made of such stretches and of lines long enough alone."""
+    lines = sorted(lines, key=lambda x: x["at"])
+    out = set()
+    for step in (1, -1):
+        row = lines[::step]
+        for i in range(len(row)):
+            words, j = row[i]["words"], i
+            while words < min_words and j + 1 < len(row) and row[j + 1]["at"] == row[j]["at"] + step:
+                j += 1
+                words += row[j]["words"]
+            if j > i and words >= min_words:
+                out.add(tuple(x["hash"] for x in row[i : j + 1][::step]))
+    return out
+
+
 def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, body, at, place, hash, words) of each line with words; body: the text's hash; at: its number among such
     lines; place: among all.  White space within a line doesn't count."""
@@ -124,7 +213,54 @@ def repeated_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.where(F.size("blocks") > 0)
 
 
-def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+def aligned_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """What repeated_blocks() returns, of runs that one alignment with one earlier document holds."""
+    ship_package(docs.sparkSession)
+    lines = durable(line_table(docs, doc_id, text), "lines")
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    shared = lines.groupBy("hash", "words").agg(F.min(F.struct("doc_id", "body")).alias("first"), F.max("doc_id").alias("last"))
+    shared = shared.where(F.col("first.doc_id") < F.col("last")).select("hash", "words", F.col("first.doc_id").alias("source"), F.col("first.body").alias("source_body"))
+    shared = durable(shared, "shared-lines")  # a shuffle of its own, so that the join can split a hot line's rows
+    met = durable(lines.join(shared, ["hash", "words"]), "met-lines")
+    own = met.groupBy("doc_id", "body").agg(F.collect_set(F.struct("at", "hash", "words")).alias("lines"))
+
+    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rows, keys = [], []
+                for i, x in enumerate(part.column("lines").to_pylist()):
+                    for held in stretches(x, min_words):
+                        rows.append(i)
+                        keys.append(xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "little", signed=True) for h in held)) - 2**63)
+                picked = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), picked.column("doc_id"), picked.column("body")], ["key", "doc_id", "body"])
+
+    long = durable(own.where(F.size("lines") > 1).mapInArrow(stretch, f"key long, doc_id {kind}, body long"), "stretches")
+    held = long.groupBy("key").agg(F.min(F.struct("doc_id", "body")).alias("first"), F.max("doc_id").alias("last")).where(F.col("first.doc_id") < F.col("last"))
+    held = durable(held.select("key", F.col("first.doc_id").alias("source"), F.col("first.body").alias("source_body")), "held-stretches")
+    pair = ["doc_id", "body", "source", "source_body"]
+    pairs = met.where("doc_id > source").select(*pair).union(long.join(held, "key").where("doc_id > source").select(*pair))
+    pairs = durable(pairs.distinct(), "pairs")
+    places = met.groupBy(F.col("doc_id").alias("source"), F.col("body").alias("source_body"), "hash", "words").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    places = durable(places, "places")
+    both = durable(pairs.join(met.drop("source", "source_body"), ["doc_id", "body"]), "pair-lines").join(places, ["source", "source_body", "hash", "words"])
+    both = both.groupBy("doc_id", "body").agg(F.collect_set(F.struct("source", "source_body", "at", "place", "words", "hash", "ats")).alias("lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                source = part.schema.field("doc_id").type
+                shape = pa.list_(pa.struct([("places", pa.list_(pa.int32())), ("words", pa.int32()), ("source", source), ("source_at", pa.int32())]))
+                blocks = pa.array([aligned_runs(x, min_words) for x in part.column("lines").to_pylist()], shape)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), blocks], ["doc_id", "body", "blocks"])
+
+    out = both.mapInArrow(run, f"doc_id {kind}, body long, blocks array<struct<places: array<int>, words: int, source: {kind}, source_at: int>>")
+    return out.where(F.size("blocks") > 0)
+
+
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_BLOCK_WORDS, aligned: bool = False) -> DataFrame:
     """(row struct of docs' columns with its text cleaned, blocks): every row of docs.
 
     A null text and a text without shared lines stay as they are; a null doc_id is neither earlier nor later than another
@@ -133,7 +269,7 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     table gives an empty result.
     """
     ship_package(docs.sparkSession)
-    found = durable(repeated_blocks(docs, doc_id, text, min_words), "blocks")
+    found = durable((aligned_blocks if aligned else repeated_blocks)(docs, doc_id, text, min_words), "blocks")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     whole = whole.withColumns({"id": F.col(f"row.`{doc_id}`"), "body": F.xxhash64(F.coalesce(F.col(f"row.`{text}`"), F.lit("")))})
     joined = whole.join(found.withColumnRenamed("doc_id", "id"), ["id", "body"], "left")
@@ -148,9 +284,9 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     return joined.select(F.col("row").withField(f"`{text}`", cleaned).alias("row"), "blocks")
 
 
-def summary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def summary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", aligned: bool = False) -> DataFrame:
     """Per row: doc_id, deleted_lines, deleted_words, first_source (of its first deleted block, or null), text_sha256 of what stays."""
-    out = drop_repeated_lines(docs, doc_id, text)
+    out = drop_repeated_lines(docs, doc_id, text, aligned=aligned)
     return out.select(
         F.col(f"row.`{doc_id}`").alias("doc_id"),
         F.coalesce(F.size(F.flatten("blocks.places")), F.lit(0)).cast("long").alias("deleted_lines"),
@@ -160,7 +296,7 @@ def summary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", aligned: bool = False) -> DataFrame:
     """docs with texts cleaned, without documents that lost every word."""
-    out = drop_repeated_lines(docs, doc_id, text)
+    out = drop_repeated_lines(docs, doc_id, text, aligned=aligned)
     return out.where(F.col("blocks").isNull() | (F.trim(F.regexp_replace(F.col(f"row.`{text}`"), r"\s+", " ")) != "")).select("row.*")

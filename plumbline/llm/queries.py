@@ -49,7 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.summary(table(spark, sf_dir, "documents"))
+    return line_dedup.summary(table(spark, sf_dir, "documents"), aligned=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
