@@ -7,7 +7,9 @@ construction and broadcast.  Each line of a document is held against the same ta
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import cache, reduce
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +55,35 @@ KNOWN = [
     ("CC0-1.0", "Released under CC0 1.0."),
     ("all-rights-reserved", "All rights reserved."),
 ]
-
+_BSD3 = _BSD2.replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE")
+#: Title lines that whole texts come with, or without.
+_TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD-3-Clause"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+#: Lines that open the texts in the folder `licenses`.
+_OPENING = r"(Apache License|GNU (LESSER )?GENERAL PUBLIC LICENSE|Mozilla Public License Version 2\.0|Creative Commons Legal Code|CC0 1\.0 Universal|Version \d.*|=+|https?://\S+)"
+
+
+@cache
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """(license, text) of whole texts: each with and without its title lines, and with and without what stands after its
+    end of terms.  A bounded table, read on the driver."""
+    found = [("MIT", _MIT.split("\n", 1)[1]), ("ISC", _ISC.split("\n", 1)[1]), ("BSD-2-Clause", _BSD2), ("BSD-3-Clause", _BSD3)]
+    found += [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(files("plumbline.llm").joinpath("licenses").iterdir(), key=lambda f: f.name)]
+    out = []
+    for name, text in found:
+        ended = re.search(r"(?m)^.*END OF TERMS AND CONDITIONS.*$", text)
+        for whole in [text, *([text[: ended.end()], text[: ended.start()]] if ended else [])]:
+            lines = whole.strip().split("\n")
+            while lines and (not lines[0].strip() or re.fullmatch(_OPENING, lines[0].strip())):
+                lines = lines[1:]
+            out += [(name, whole), (name, "\n".join(lines)), *((name, title + "\n" + whole) for title in _TITLES.get(name, []))]
+    return tuple(dict.fromkeys(out))
 
 
 def canonical(text: Column) -> Column:
@@ -72,7 +102,7 @@ def canonical_digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license), one row a digest; `known` is a list of (license, text) and bounds the table."""
-    names = spark.createDataFrame(known if known is not None else KNOWN, "license string, text string")
+    names = spark.createDataFrame(known if known is not None else [*KNOWN, *whole_texts()], "license string, text string")
     return names.groupBy(canonical_digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
