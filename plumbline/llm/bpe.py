@@ -11,10 +11,9 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
-
+from codecs import charmap_decode
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.shipping import ship_package
+from plumbline.llm.codes import Codes
 from plumbline.llm.common import held_by_worker, text_or_empty
 
-#: Words that a worker keeps; beyond that it forgets all and starts again.
-KEPT_WORDS = 250_000
+#: Chunks that a worker keeps before they become the old ones.
+KEPT_CHUNKS = 300_000
 KEPT_PAIRS = 1_000_000
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 #: Printable characters below U+0100: their normal form, case and classes are the same in every Unicode version.
@@ -34,23 +34,17 @@ _PLAIN = re.compile("[!-~\u00a1-\u00ff]+")
 _PLAIN_TEXT = re.compile("[\\x09-\\x0d -~\u00a1-\u00ff]*")
 
 
-def _byte_letters() -> dict[int, str]:
-    """Byte to letter, as byte-level files write bytes: printable ones stand for themselves, others from U+0100 on."""
+def _byte_letters() -> str:
+    """A letter for each byte, as byte-level files write bytes: printable ones stand for themselves, others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return "".join(letter[b] for b in range(256))
 
 
 _BYTES = _byte_letters()
 
 
-def _longest(tokens: dict[str, int]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for t in tokens:
-        out[t[-2:]] = max(out.get(t[-2:], 1), len(t))
-    return out
-
-
 def _plain(spec: dict) -> regex.Pattern | None:
     """The file's own word pattern, if it is one that can be applied to plain chunks without the library."""
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -77,7 +71,9 @@ class TrieBpe:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.pairs = pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {p: i for i, p in enumerate(pairs)}
+        self.joins: dict[str, dict[str, int]] = {}  # left token, right token: the merge's rank
+        for rank, (left, right) in enumerate(pairs):
+            self.joins.setdefault(left, {})[right] = rank
         self.made = {a + b: i for i, (a, b) in enumerate(pairs)}
         self.spines: tuple[dict, dict] = ({}, {})
         made = [self.vocab[a + b] for a, b in pairs]
@@ -86,24 +82,17 @@ class TrieBpe:
         self.token = {i: t for t, i in self.vocab.items()}
         self.special: dict[str, int] = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.token |= {i: t for t, i in self.special.items()}
-        self.parts = {i: self._symbols(t) for t, i in self.vocab.items()}
-        self.size = {i: len(p) for i, p in self.parts.items()}
-        # tokens by their text, those that can end a word by their text without the suffix; and how long any is that ends alike
+        # tokens by their text, those that can end a word by their text without the suffix
         closing = {i for t, i in self.vocab.items() if self.suffix and t.endswith(self.suffix) and t != self.suffix}
         self.inner = {t: i for t, i in self.vocab.items() if i not in closing}
         self.final = {t[: -len(self.suffix)]: i for t, i in self.vocab.items() if i in closing} if self.suffix else self.inner
-        self.longest, self.final_longest = _longest(self.inner), _longest(self.final)
+        self.beginnings = {t[:n] for t in self.inner for n in range(len(t) + 1)} | {t[:n] for t in self.final for n in range(len(t))}
+        self.states: dict[str, tuple[str, dict, list, dict]] = {}
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.kept_pairs = 0
         self.plain_split = _plain(spec)
-        self.fits: dict[tuple[int, int], bool] = {}
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def _symbols(self, token: str) -> list[str]:
-        """A token's characters; a last one with the suffix is one symbol."""
-        if self.suffix and token.endswith(self.suffix) and token != self.suffix:
-            bare = token[: -len(self.suffix)]
-            return [*bare[:-1], bare[-1] + self.suffix]
-        return list(token)
-
     def _spine(self, token: int, right: bool) -> list[tuple[str, float, float]]:
         """The tokens that stand at one end of `token` while it is being merged, and the ranks between which each does."""
         memo = self.spines[right]
@@ -126,25 +115,54 @@ class TrieBpe:
         """
         if before < 0:
             return True
-        key = (before, token)
-        if (known := self.fits.get(key)) is None:
-            if len(self.fits) > KEPT_PAIRS:
-                self.fits.clear()
-            known, rank = True, self.rank
-            for x, x_since, x_until in self._spine(before, True):
-                for y, y_since, y_until in self._spine(token, False):
-                    r = rank.get((x, y), -1)
-                    if r > x_since and r > y_since and r < x_until and r <= y_until:
-                        known = False
-            self.fits[key] = known
-        return known
+        right = self._spine(token, False)
+        for x, x_since, x_until in self._spine(before, True):
+            joins = self.joins.get(x)
+            if joins is None:
+                continue
+            for y, y_since, y_until in right:
+                r = joins.get(y, -1)
+                if r > x_since and r > y_since and r < x_until and r <= y_until:
+                    return False
+        return True
+
+    def _fits(self, before: int, token: int, known: dict[int, bool]) -> bool:
+        """_follows(), remembered in what is known of the token."""
+        self.kept_pairs += 1
+        if self.kept_pairs > KEPT_PAIRS:
+            for pairs in self.fits.values():
+                pairs.clear()
+            self.kept_pairs = 1
+        fit = known[before] = self._follows(before, token)
+        return fit
+
+    def _candidates(self, text: str, tokens: dict[str, int]) -> list[tuple[int, int, dict[int, bool]]]:
+        """The tokens that `text` ends with, longest first: (id, symbols, what is known of pairs with it)."""
+        found = []
+        for at in range(len(text)):
+            token = tokens.get(text[at:])
+            if token is not None:
+                found.append((token, len(text) - at, self.fits.setdefault(token, {})))
+        return found
+
+    def _state(self, text: str) -> tuple[str, dict, list, dict]:
+        """What a prefix of a word leads to: the longest end of it that some token begins with, moves by symbol, the tokens
+        that end there, and by closing symbol those that end the word."""
+        for at in range(len(text) + 1):
+            held = self.states.get(text[at:])
+            if held is not None:
+                return held
+            if text[at:] in self.beginnings:
+                break
+        text = text[at:]
+        made = self.states[text] = (text, {}, self._candidates(text, self.inner), {})
+        return made
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Ids of each word (in the file's own alphabet), by one walk over the trie of all of them."""
-        inner, final, longest, sizes = self.inner, self.final, self.longest, self.size
+        """Ids of each word (in the file's own alphabet), by one depth-first walk over the trie of all of them."""
         out: dict[str, list[int]] = {}
-        last = [-1]  # the last token of each prefix on the way to the word
-        before = ""
+        last, path = [-1], [self._state("")]  # the last token of each prefix on the way to the word, and where it leads to
+        sizes, before = [0], ""
         for word in sorted(words):
             if not word:
                 out[word] = []
@@ -153,37 +171,48 @@ class TrieBpe:
             shared, most = 0, min(end, len(before)) - 1
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], path[shared + 1 :], sizes[shared + 1 :]
+            state = path[-1]
             for depth in range(shared + 1, end):
-                last.append(self._last(word, depth, last, inner, longest))
-            token = self._last(word, end, last, final, self.final_longest)
-            ids, at = [token], end - sizes[token]
+                symbol = word[depth - 1]
+                moved = state[1].get(symbol)
+                if moved is None:
+                    moved = state[1][symbol] = self._state(state[0] + symbol)
+                state = moved
+                path.append(state)
+                for token, size, known in state[2]:
+                    previous = last[depth - size]
+                    fit = known.get(previous)
+                    if fit or (fit is None and self._fits(previous, token, known)):
+                        last.append(token)
+                        sizes.append(size)
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[:depth]!r}")
+            symbol = word[-1]
+            closing = state[3].get(symbol)
+            if closing is None:
+                closing = state[3][symbol] = self._candidates(state[0] + symbol, self.final)
+            for token, size, known in closing:
+                previous = last[end - size]
+                fit = known.get(previous)
+                if fit or (fit is None and self._fits(previous, token, known)):
+                    break
+            else:
+                raise ValueError(f"no token ends {word!r}")
+            ids, at = [token], end - size
             while at:
-                token = last[at]
-                ids.append(token)
-                at -= sizes[token]
-            out[word] = ids[::-1]
+                ids.append(last[at])
+                at -= sizes[at]
+            ids.reverse()
+            out[word] = ids
             before = word
         return out
 
-    def _last(self, word: str, depth: int, last: list[int], tokens: dict[str, int], longest: dict[str, int]) -> int:
-        """The last token of word[:depth]: the one that ends there and goes with the last token of what is before it."""
-        fits = self.fits
-        for size in range(min(depth, longest.get(word[max(0, depth - 2) : depth], 1)), 0, -1):
-            token = tokens.get(word[depth - size : depth])
-            if token is not None:
-                pair = (last[depth - size], token)
-                if (fit := fits.get(pair)) is None:
-                    fit = self._follows(*pair)
-                if fit:
-                    return token
-        raise ValueError(f"no token ends {word[:depth]!r}")
-
     def pieces(self, chunk: str) -> list[str | int]:
         """A chunk without ASCII white space as words of the file's alphabet, and ids of added tokens."""
         if self.plain_split and "<|" not in chunk and _PLAIN.fullmatch(chunk):
-            words = self.plain_split.findall(chunk.lower())
-            return words if chunk.isascii() else [w.encode().decode("latin-1").translate(_BYTES) for w in words]
+            return self.in_bytes(self.plain_split.findall(chunk.lower()))
         normal, split = self.library.normalizer, self.library.pre_tokenizer
         found: list[str | int] = []
         for part in self.special_re.split(chunk) if self.special_re else [chunk]:
@@ -194,6 +223,10 @@ class TrieBpe:
                 found += [w for w, _ in split.pre_tokenize_str(text)] if split else [text]
         return found
 
+    @staticmethod
+    def in_bytes(words: list[str]) -> list[str]:
+        return [w if w.isascii() else charmap_decode(w.encode(), "strict", _BYTES)[0] for w in words]
+
     def decode(self, ids: Iterable[int]) -> str:
         """As the file says, which for word_bpe_49k is: tokens joined by a space.  Ids without a token are left out."""
         if self.library.decoder is not None:
@@ -202,39 +235,52 @@ class TrieBpe:
 
 
 class TextCoder:
-    """Encodes whole texts, remembering words.  Only for files that drop white space, which then parts what it stands between."""
+    """Encodes whole texts, remembering chunks.  Only for files that drop white space, which then parts what it stands between."""
 
     def __init__(self, path: str):
         self.bpe = TrieBpe(path)
         if self.bpe.suffix == "" or self.bpe.library.decoder is not None:
             raise ValueError("texts are encoded piece by piece only where white space is dropped")
-        self.known: dict[str | int, tuple[bytes, str]] = {}
-
-    def split(self, text: str) -> list[str | int]:
-        """A text's words in the file's alphabet, and ids of added tokens."""
-        plain = self.bpe.plain_split
-        if plain and "<|" not in text and _PLAIN_TEXT.fullmatch(text):
-            words = plain.findall(text.lower())
-            return words if text.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in words]
-        return list(chain.from_iterable(map(self.bpe.pieces, _CHUNK.findall(text))))
+        self.shown = np.array([self.bpe.token.get(i) for i in range(max(self.bpe.token) + 1)], object)
+        self.codes = Codes(self._learn, KEPT_CHUNKS)
+
+    def chunks(self, text: str) -> list[str]:
+        """A text's parts between white space; of plain texts in lower case, which they are encoded in anyway."""
+        if self.bpe.plain_split and "<|" not in text and _PLAIN_TEXT.fullmatch(text):
+            return text.lower().split()
+        return _CHUNK.findall(text)
+
+    def _words(self, chunk: str) -> list[str | int]:
+        """As TrieBpe.pieces(), without a pattern for letters and for letters with a mark after them."""
+        if self.bpe.plain_split and chunk.islower() and _PLAIN.fullmatch(chunk):
+            if chunk.isalpha():
+                return self.bpe.in_bytes([chunk])
+            if chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
+                return self.bpe.in_bytes([chunk[:-1], chunk[-1]])
+        return self.bpe.pieces(chunk)
+
+    def _learn(self, chunks: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For chunks: which of them (all), their ids in a row, and how many each has."""
+        split = list(map(self._words, chunks))
+        coded = self.bpe.encode_words({w for words in split for w in words if isinstance(w, str)})
+        ids, sizes = [], []
+        for words in split:
+            before = len(ids)
+            for w in words:
+                ids += coded[w] if isinstance(w, str) else (w,)
+            sizes.append(len(ids) - before)
+        yield np.arange(len(chunks)), np.array(ids, "<u4"), np.array(sizes, "int64")
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Each text's ids (little-endian, 32 bits) and its tokens joined by a space."""
-        out_ids, out_text, token = [], [], self.bpe.token
-        for at in range(0, len(texts), 1024):
-            part = list(map(self.split, texts[at : at + 1024]))
-            if len(self.known) > KEPT_WORDS:
-                self.known = {}
-            known = self.known
-            new = set(chain.from_iterable(part)).difference(known)
-            coded = self.bpe.encode_words({w for w in new if isinstance(w, str)})
-            for word in new:
-                ids = [word] if isinstance(word, int) else coded[word]
-                known[word] = array("i", ids).tobytes(), " ".join([token[i] for i in ids])
-            for words in part:
-                pairs = [known[w] for w in words]
-                out_ids.append(b"".join([p[0] for p in pairs]))
-                out_text.append(" ".join([p[1] for p in pairs]))
+        out_ids, out_text = [], []
+        for at in range(0, len(texts), 512):
+            part = list(map(self.chunks, texts[at : at + 512]))
+            ids, ends = self.codes.of(part)
+            raw, shown = ids.tobytes(), self.shown[ids].tolist()
+            for low, high in pairwise(ends):
+                out_ids.append(raw[4 * low : 4 * high])
+                out_text.append(" ".join(shown[low:high]))
         return out_ids, out_text
 
 
@@ -255,11 +301,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = coder(tokenizer)
         for batch in batches:
-            ids, decoded = mine.encode(batch.column("text").to_pylist())
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("int32")
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids, decoded = mine.encode(part.column("text").to_pylist())
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("int32")
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                lists = pa.ListArray.from_arrays(pa.array(ends), flat)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
