@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.shipping import ship_package
-from plumbline.llm.codes import Codes
+from plumbline.llm.codes import BYTE_LETTERS, Codes
 from plumbline.llm.common import held_by_worker, text_or_empty
 
 #: Chunks that a worker keeps before they become the old ones.
@@ -34,17 +34,6 @@ _PLAIN = re.compile("[!-~\u00a1-\u00ff]+")
 _PLAIN_TEXT = re.compile("[\\x09-\\x0d -~\u00a1-\u00ff]*")
 
 
-def _byte_letters() -> str:
-    """A letter for each byte, as byte-level files write bytes: printable ones stand for themselves, others from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in shown]
-    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    return "".join(letter[b] for b in range(256))
-
-
-_BYTES = _byte_letters()
-
-
 def _plain(spec: dict) -> regex.Pattern | None:
     """The file's own word pattern, if it is one that can be applied to plain chunks without the library."""
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -225,7 +214,7 @@ class TrieBpe:
 
     @staticmethod
     def in_bytes(words: list[str]) -> list[str]:
-        return [w if w.isascii() else charmap_decode(w.encode(), "strict", _BYTES)[0] for w in words]
+        return [w if w.isascii() else charmap_decode(w.encode(), "strict", BYTE_LETTERS)[0] for w in words]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the file says, which for word_bpe_49k is: tokens joined by a space.  Ids without a token are left out."""

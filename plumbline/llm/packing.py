@@ -11,36 +11,60 @@ Every task packs its own rows, `pool` examples at a time: no shuffle, bounded me
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.shipping import ship_package
+from plumbline.llm.codes import BYTE_LETTERS, Codes
 from plumbline.llm.common import held_by_worker, text_or_empty
 
-KEPT_WORDS = 1_000_000
+#: Parts of texts that a worker keeps before they become the old ones.
+KEPT_WORDS = 300_000
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: Signs of white space that isn't a single space or line feed between two other characters.
 _WIDE = ["  ", "\n\n", " \n", "\n ", *[c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]]
 _SPACE = re.compile(r"\s")
-_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_MARKS = frozenset(".,")
+#: Printable characters below U+0100 and line feeds: their classes are the same in every Unicode version.
+_PLAIN_TEXT = re.compile("[\n -~\u00a1-\u00ff]*")
+#: Fixed value: how byte-level files of this kind split texts.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _wide(text: str) -> bool:
     return not text or text[0] in " \n" or text[-1] in " \n" or any(sign in text for sign in _WIDE)
 
 
+def by_ranks(path: str, library) -> tiktoken.Encoding | None:
+    """The same vocabulary for the tiktoken library, which joins two parts if what they make is a token, by that token's
+    rank, and not by a list of pairs.
+
+    This is the same if every token's own letters encode to it alone: what lies between two borders that hold until a
+    merge's turn has been merged as if it stood alone, so parts that make a token are the two of its pair.  None if some
+    token doesn't.
+    """
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    special = {t.content for t in library.get_added_tokens_decoder().values()}
+    byte = {c: b for b, c in enumerate(BYTE_LETTERS)}
+    tokens = {t: i for t, i in vocab.items() if t not in special}
+    if any(len(found := library.model.tokenize(t)) != 1 or found[0].id != i for t, i in tokens.items()):
+        return None
+    return tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks={bytes(map(byte.__getitem__, t)): i for t, i in tokens.items()}, special_tokens={})
+
+
 class WordIds:
-    """Token ids of whole texts by the tokenizers library, which is asked once for each distinct word.
+    """Token ids of whole texts as the tokenizers library gives them, worked out once for each distinct word.
 
     Byte-level files start a new piece at a single space or line feed between two characters that are not white space,
     so a text's ids are those of its parts: a word with its space, a line feed, and what other white space keeps together.
@@ -57,44 +81,50 @@ class WordIds:
         if self.library.normalizer is not None or type(pre).__name__ != "ByteLevel" or pre.add_prefix_space or not pre.use_regex:
             raise ValueError("a plain byte-level file is needed")
         (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        """Ask the library for words with `lead` before them; one mark after plain letters is a piece of its own."""
-        new = words.difference(known)
-        marked = [w for w in new if w[-1:] in _MARKS and _LETTERS.fullmatch(w, 0, len(w) - 1)]
-        ask = list({w[:-1] for w in marked}.difference(known).union(new.difference(marked)))
-        spread = [w for w in ask if not w.isalnum() and _SPACE.search(w)]
-        for word, code in zip(spread, self.library.encode_batch_fast([lead + w for w in spread], add_special_tokens=False), strict=True):
-            known[word] = array("I", code.ids).tobytes()
-        if spread:
-            ask = list(set(ask).difference(spread))
-        # many words at a time, one a line: a line feed is always a piece and an id of its own
-        texts = [("\n" + lead).join(ask[at : at + 1000]) for at in range(0, len(ask), 1000)]
-        for at, code in enumerate(self.library.encode_batch_fast([lead + t for t in texts], add_special_tokens=False)):
-            ids = np.array(code.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(ask[1000 * at : 1000 * (at + 1)], (4 * ends).tolist(), strict=True):
-                known[word] = raw[start:end]
-                start = end + 4
-        for mark in {w[-1] for w in marked}.difference(self.bare):
-            self.bare[mark] = array("I", self.library.encode(mark, add_special_tokens=False).ids).tobytes()
-        for word in marked:
-            known[word] = known[word[:-1]] + self.bare[word[-1]]
+        self.quick = by_ranks(path, self.library)
+        self.codes = Codes(self._learn, KEPT_WORDS)
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """What a text is put together of: after a space first of all what has nothing before it, after a line feed what has
+        that before it, and else what has a space before it."""
+        found = _GAP.split(text) if _wide(text) else text.replace("\n", " \n").split(" ")
+        found[0] = " " + found[0]
+        return found
+
+    def _ask(self, words: list[str], lead: str, feeds: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words without white space in a row, `lead` before each (and before that, if asked for, a line feed's
+        id), and how many each has.  Many words at a time, one a line: a line feed is always a piece and an id of its own."""
+        found = [np.zeros(0, "<u4")]
+        for at in range(0, len(words), 1000):
+            text = "\n" + lead + ("\n" + lead).join(words[at : at + 1000])
+            if self.quick and "<|" not in text and _PLAIN_TEXT.fullmatch(text):
+                found.append(self.quick.encode_to_numpy(text))
+            else:
+                found.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4"))
+        ids = np.concatenate(found)
+        sizes = np.diff(np.append(np.flatnonzero(ids == self.feed), len(ids)))
+        return (ids, sizes) if feeds else (ids[ids != self.feed], sizes - 1)
+
+    def _learn(self, parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For parts(): which of them, their ids in a row, and how many each has."""
+        odd = [i for i, part in enumerate(parts) if not part.isalnum() and (part[0] == " " or _SPACE.search(part, 1))]
+        taken = set(odd)
+        fed = [i for i, part in enumerate(parts) if part[0] == "\n" and i not in taken]
+        taken.update(fed)
+        spaced = [i for i in range(len(parts)) if i not in taken]
+        spaced.sort(key=lambda i: not _PLAIN_TEXT.fullmatch(parts[i]))  # together, those that the library itself has to do
+        yield np.array(spaced, "int64"), *self._ask([parts[i] for i in spaced], " ", False)
+        yield np.array(fed, "int64"), *self._ask([parts[i][1:] for i in fed], "", True)
+        codes = self.library.encode_batch_fast([parts[i][1:] if parts[i][0] == " " else " " + parts[i] for i in odd], add_special_tokens=False)
+        found = [np.array(code.ids, "<u4") for code in codes]
+        yield np.array(odd, "int64"), np.concatenate([np.zeros(0, "<u4"), *found]), np.array(list(map(len, found)), "int64")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        if len(self.bare) + len(self.spaced) > KEPT_WORDS:
-            self.bare, self.spaced = {}, {}
-        split = [[line.split(" ") for line in text.split("\n")] if not _wide(text) else [_GAP.split(text)] for text in texts]
-        self.bare["\n"] = array("I", [self.feed]).tobytes()
-        self._learn(self.bare, {*(line[0] for lines in split for line in lines)}, "")
-        self._learn(self.spaced, set(chain.from_iterable(line[1:] for lines in split for line in lines)), " ")
-        bare, spaced = self.bare, self.spaced
-        feed = bare["\n"]
-        return [feed.join([bare[line[0]] + b"".join([spaced[w] for w in line[1:]]) for line in lines]) for lines in split]
+        ids, ends = self.codes.of(list(map(self.parts, texts)))
+        raw = ids.tobytes()
+        return [raw[4 * low : 4 * high] for low, high in pairwise(ends)]
 
 
 def word_ids(path: str) -> WordIds:
