@@ -8,7 +8,7 @@ construction and broadcast.  Each line of a document is held against the same ta
 from __future__ import annotations
 
 import re
-from functools import cache, reduce
+from functools import cache
 from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +56,13 @@ KNOWN = [
     ("all-rights-reserved", "All rights reserved."),
 ]
 _BSD3 = _BSD2.replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE")
+_BSD0 = _ISC.split("\n", 1)[1].replace(", provided that the above copyright notice and this permission notice appear in all copies.", ".")
+#: Known texts at most; eleven notices and about a hundred forms of whole texts are known by default.
+MAX_KNOWN = 10_000
+#: A copyright line begins with a mark and a year, or with two marks.  The statements of a foundation that are part of its
+#: licences stay, and so do the examples in them: they are the same everywhere, and their lines are broken in many ways.
+_MARKED = r"[^\n\p{L}\p{N}]*(copyright[ \t]*(\(c\)|©)|(copyright|\(c\)|©)[ \t:]*[<\[{]?[ \t]*(\d{4}|year|yyyy))"
+_COPYRIGHT = rf"(?dm)^{_MARKED}(?![^\n]*(free software|name of (author|copyright)))[^\n]*$"
 #: Title lines that whole texts come with, or without.
 _TITLES = {
     "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
@@ -64,16 +71,18 @@ _TITLES = {
     "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD-3-Clause"],
     "Zlib": ["zlib License", "The zlib License"],
     "Unlicense": ["The Unlicense", "Unlicense"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD"],
 }
 #: Lines that open the texts in the folder `licenses`.
-_OPENING = r"(Apache License|GNU (LESSER )?GENERAL PUBLIC LICENSE|Mozilla Public License Version 2\.0|Creative Commons Legal Code|CC0 1\.0 Universal|Version \d.*|=+|https?://\S+)"
+_OPENING = r"(Apache License|GNU (LESSER )?GENERAL PUBLIC LICENSE|Mozilla Public License Version 2\.0|Boost Software License.*|Creative Commons Legal Code|CC0 1\.0 Universal|Version \d.*|=+|https?://\S+)"
 
 
 @cache
 def whole_texts() -> tuple[tuple[str, str], ...]:
     """(license, text) of whole texts: each with and without its title lines, and with and without what stands after its
     end of terms.  A bounded table, read on the driver."""
-    found = [("MIT", _MIT.split("\n", 1)[1]), ("ISC", _ISC.split("\n", 1)[1]), ("BSD-2-Clause", _BSD2), ("BSD-3-Clause", _BSD3)]
+    found = [("MIT", _MIT.split("\n", 1)[1]), ("ISC", _ISC.split("\n", 1)[1]), ("BSD-2-Clause", _BSD2), ("BSD-3-Clause", _BSD3), ("0BSD", _BSD0)]
+    found += [(name, text.replace("<holder>\n", "<holder>\nAll rights reserved.\n")) for name, text in found]
     found += [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(files("plumbline.llm").joinpath("licenses").iterdir(), key=lambda f: f.name)]
     out = []
     for name, text in found:
@@ -86,14 +95,26 @@ def whole_texts() -> tuple[tuple[str, str], ...]:
     return tuple(dict.fromkeys(out))
 
 
-def canonical(text: Column) -> Column:
-    """Lower case; without copyright lines; letters and digits alone, one space between words; one spelling a word."""
+def plain_form(text: Column) -> Column:
+    """Lower case; no copyright lines; letters, digits and line feeds alone, one space for what stands between."""
     out = F.lower(text)
-    out = F.regexp_replace(out, r"(?m)^[^\n\p{L}\p{N}]*(copyright|\(c\)|©)[^\n]*$", " ")
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
-    out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
-    out = reduce(lambda o, pair: F.replace(o, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), EQUAL_WORDS.items(), out)
-    return F.trim(out)
+    marked = F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("(c)")) | F.contains(out, F.lit("©"))
+    out = F.when(marked, F.regexp_replace(out, _COPYRIGHT, " ")).otherwise(out)
+    return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+
+
+def canonical_lines(form: Column) -> Column:
+    """The lines of a plain_form() of which something is left, with one spelling a word."""
+    lines = F.filter(F.transform(F.split(form, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+    names = F.create_map(*[F.lit(x) for pair in EQUAL_WORDS.items() for x in pair])
+    spelled = lambda line: F.array_join(F.transform(F.split(line, " "), lambda w: F.when(w.isin(*EQUAL_WORDS), names[w]).otherwise(w)), " ")
+    other = F.arrays_overlap(F.split(F.translate(form, "\n", " "), " "), F.array(*map(F.lit, EQUAL_WORDS)))
+    return F.when(other, F.transform(lines, spelled)).otherwise(lines)
+
+
+def canonical(text: Column) -> Column:
+    """The canonical lines in a row: how the words are dealt to lines doesn't count, but for copyright lines."""
+    return F.array_join(canonical_lines(plain_form(text)), " ")
 
 
 def canonical_digest(text: Column) -> Column:
@@ -101,9 +122,12 @@ def canonical_digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license), one row a digest; `known` is a list of (license, text) and bounds the table."""
-    names = spark.createDataFrame(known if known is not None else [*KNOWN, *whole_texts()], "license string, text string")
-    return names.groupBy(canonical_digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    """(digest, form, license), one row a digest; `known` is a list of (license, text), MAX_KNOWN at most."""
+    pairs = known if known is not None else [*KNOWN, *whole_texts()]
+    if len(pairs) > MAX_KNOWN:
+        raise ValueError(f"the table of known licences goes with the plan; {MAX_KNOWN} texts are the most")
+    names = spark.createDataFrame(pairs, "license string, text string").select("license", canonical(F.col("text")).alias("form"))
+    return names.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("form").alias("form"), F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -114,14 +138,15 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     licence.  Repeated rows each give a row.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    known_rows = F.broadcast(known_digests(spark, known))
-    # the same rows as a constant of the plan, for the look-up of each line: as many entries as `known` has
-    pairs = [(r.digest, r.license) for r in known_digests(spark, known).collect()]
-    names = F.create_map(*[F.lit(x) for pair in pairs for x in pair]) if pairs else F.expr("cast(map() as map<string, string>)")
-    lines = F.filter(
-        F.transform(F.split(text_or_empty(text), "\n"), lambda line: names[canonical_digest(line)]), lambda name: name.isNotNull()
-    )
-    rows = docs.select(F.col(doc_id).alias("doc_id"), canonical_digest(text_or_empty(text)).alias("text_digest"), lines.alias("hits"))
+    table = [(r.digest, r.license, r.hash) for r in known_digests(spark, known).where("form <> ''").select("digest", "license", F.xxhash64("form").alias("hash")).collect()]
+    known_rows = F.broadcast(spark.createDataFrame([t[:2] for t in table], "digest string, license string"))
+    # a line's hash is looked up in a set, and only lines that are in it have their digest looked up
+    names = F.create_map(*[F.lit(x) for t in table for x in t[:2]]) if table else F.expr("cast(map() as map<string, string>)")
+    hits = F.transform(F.filter("lines", lambda line: F.xxhash64(line).isin([t[2] for t in table])), lambda line: names[F.sha2(line, 256)])
+    # step by step, as each form is used more than once by the next
+    rows = docs.select(F.col(doc_id).alias("doc_id"), plain_form(text_or_empty(text)).alias("form"))
+    rows = rows.select("doc_id", canonical_lines(F.col("form")).alias("lines"))
+    rows = rows.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("text_digest"), F.filter(hits, lambda name: name.isNotNull()).alias("hits"))
     return rows.join(known_rows, F.col("text_digest") == F.col("digest"), "left").select(
         "doc_id", "text_digest", "license", F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("notices"), F.size("hits").alias("notice_lines")
     )
@@ -129,13 +154,13 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
 
 def oracle(known: list[tuple[str, str]] | None = None) -> str:
     """The same scan in DuckDB."""
+    spelled = ", ".join(f"'{a}': '{b}'" for a, b in EQUAL_WORDS.items())
 
     def form(x: str) -> str:
-        out = rf"regexp_replace(lower({x}), '(?m)^[^\n\p{{L}}\p{{N}}]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g')"
-        out = rf"' ' || trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ') || ' '"
-        for a, b in EQUAL_WORDS.items():
-            out = f"replace({out}, ' {a} ', ' {b} ')"
-        return f"sha256(trim({out}, ' '))"
+        out = rf"list_filter(string_split(lower({x}), chr(10)), lambda l: NOT (regexp_matches(l, '^{_MARKED}') AND NOT regexp_matches(l, 'free software|name of (author|copyright)')))"
+        out = rf"string_split(trim(regexp_replace(array_to_string({out}, ' '), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), ' ')"
+        out = f"list_transform({out}, lambda w: coalesce(map {{{spelled}}}[w], w))"
+        return f"sha256(array_to_string({out}, ' '))"
 
     quoted = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in (known if known is not None else KNOWN))
     return f"""
