@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,44 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: A member filter is sent to every executor; it has at most so many bits (16 MB).
+MEMBER_BITS = 1 << 27
+
+
+def maybe_member(keys: DataFrame, key: str, most: int = MEMBER_BITS) -> Callable[[Column], Column]:
+    """A function from a long column to a boolean one: true for each of the keys, and for few others.
+
+    A Bloom filter of two positions and about ten bits a key.  Beyond `most` bits more and more others pass as well, so
+    it may decide which rows take the longer way and never what becomes of them.
+    """
+    spark = keys.sparkSession
+    bits = max(64, min(most, 1 << max(0, keys.count() * 10 - 1).bit_length()))
+    places = keys.select(F.explode(F.array(F.pmod(F.col(key), F.lit(bits)), F.pmod(F.xxhash64(key), F.lit(bits)))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask")).toArrow()
+    packed = np.zeros(bits // 64, "u8")
+    packed[words["word"].to_numpy()] = words["mask"].to_numpy().view("u8")
+    shared = spark.sparkContext.broadcast(packed)
+
+    @F.pandas_udf("boolean")
+    def held(first: pd.Series, second: pd.Series) -> pd.Series:
+        found = np.ones(len(first), bool)
+        for p in (first.to_numpy("int64"), second.to_numpy("int64")):
+            found &= (shared.value[p >> 6] >> (p & 63).astype("u8") & np.uint64(1)).astype(bool)
+        return pd.Series(found)
+
+    return lambda c: held(F.pmod(c, F.lit(bits)), F.pmod(F.xxhash64(c), F.lit(bits)))
+
+
+def without(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """The rows that `gone` (columns `on`, null equal to null) doesn't name.  Only rows that may be named shuffle."""
+    key = F.xxhash64(*on)
+    maybe = maybe_member(gone.select(key.alias("key")), "key")(key)
+    rows = rows.withColumn("_maybe", maybe)
+    named = gone.select(*[F.col(c).alias(f"_its_{c}") for c in on]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_its_{c}")) for c in on])
+    return rows.where(~F.col("_maybe")).unionByName(rows.where("_maybe").join(named, same, "left_anti")).drop("_maybe")
+
+
 _held: dict[Hashable, object] = {}
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup
+from plumbline.llm.common import maybe_member
 
 from .helpers import clashing, empty, odd, prose
 from .test_similar import line_docs
@@ -118,3 +119,24 @@ def test_aligned_odd_rows(spark):
     assert [r["deleted_lines"] > 0 and r["first_source"] == 6 for r in rows if r["doc_id"] == 7] == [True]
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(prose(1, 15) + "\n"), F.lit("unlike "), F.col("id").cast("string")).alias("text"))
     assert line_dedup.summary(hot, aligned=True).where("deleted_lines = 1 and first_source = 0").count() == 2999
+
+
+def test_only_texts_that_lose_lines_shuffle(spark):
+    """Of 2000 long texts 20 hold a passage of the first: what the last join moves is theirs."""
+    body = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(400)), lambda i: F.hex(F.xxhash64("id", i))))
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit(prose(1, 30) + "\n"), body)).otherwise(body).alias("text"))
+    out = line_dedup.drop_repeated_lines(df, aligned=True)
+    assert out.where(F.col("blocks").isNotNull()).count() == 19 and out.count() == 2000
+    held = maybe_member(spark.range(1000).select(F.xxhash64("id").alias("key")), "key")
+    got = spark.range(20_000).select("id", held(F.xxhash64("id")).alias("m")).groupBy((F.col("id") < 1000).alias("is")).agg(F.avg(F.col("m").cast("int")).alias("share")).collect()
+    assert {r["is"]: r["share"] == 1.0 if r["is"] else r["share"] < 0.1 for r in got} == {True: True, False: True}
+
+
+def test_the_alignment_decides(spark, monkeypatch):
+    """Without chains, runs would cross from one place of the earlier document to another."""
+    a, b, c = "one two three four five six", "red green blue black white grey", "ten lines of verse stand here"
+    rows = [(0, f"{a}\n{b}\n{c}"), (1, f"{c}\n{a}\nmiddle\n{b}\n{a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert cleaned_texts(df)[1] == rows[1][1]
+    monkeypatch.setattr(line_dedup, "aligned_places", lambda lines: {x["at"]: (0, x["at"]) for x in lines})
+    assert [r["words"] for r in line_dedup.aligned_runs([{"source": 0, "source_body": 0, "at": i, "place": i, "words": 6, "hash": i, "ats": [2 - i]} for i in range(2)], 10)] == [12]
