@@ -9,10 +9,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.quantiles import quantiles
+from plumbline.functions.shared import dense_positions
 from plumbline.functions.values import col, is_missing, kinds, long_form, number, numeric_columns, quoted, string_columns
 
 # Words in the names of date columns.
@@ -76,11 +78,6 @@ def date_features(df: DataFrame, params: Params) -> DataFrame:
 # --- missing values ------------------------------------------------------------------------------------------------
 
 
-def _quantile(value: Column, shares: list[float], exact: bool) -> Column:
-    at = F.array(*[F.lit(s) for s in shares])
-    return F.percentile(value, at) if exact else F.percentile_approx(value, shares, 100_000)
-
-
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     """The most frequent present value of each column, ties to the smallest; UNKNOWN where there is none.
 
@@ -96,8 +93,8 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
 
 def fit_imputer(df: DataFrame, params: Params, exact: bool = True) -> None:
     names = numeric_columns(df, params.skip)
-    row = _first(df, [_quantile(number(df, c), [0.5], exact)[0].alias(f"m{i}") for i, c in enumerate(names)])
-    params.medians = {c: row[f"m{i}"] for i, c in enumerate(names)}
+    found = quantiles(df, {c: number(df, c) for c in names}, [0.5], exact)
+    params.medians = {c: q and q[0] for c, q in found.items()}
     params.modes = modes(df, string_columns(df, params.skip))
 
 
@@ -117,12 +114,8 @@ def impute(df: DataFrame, params: Params) -> DataFrame:
 def fit_bounds(df: DataFrame, params: Params, factor: float = 1.5, exact: bool = True) -> None:
     """q1 - factor * iqr and q3 + factor * iqr of each numeric column's present values, quartiles interpolated."""
     names = numeric_columns(df, params.skip)
-    row = _first(df, [_quantile(number(df, c), [0.25, 0.75], exact).alias(f"q{i}") for i, c in enumerate(names)])
-    params.bounds = {}
-    for i, c in enumerate(names):
-        if row[f"q{i}"] is not None:
-            q1, q3 = map(float, row[f"q{i}"])
-            params.bounds[c] = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
+    found = quantiles(df, {c: number(df, c) for c in names}, [0.25, 0.75], exact)
+    params.bounds = {c: (q[0] - factor * (q[1] - q[0]), q[1] + factor * (q[1] - q[0])) for c, q in found.items() if q}
 
 
 def clip_outliers(df: DataFrame, params: Params) -> DataFrame:
@@ -135,14 +128,13 @@ def clip_outliers(df: DataFrame, params: Params) -> DataFrame:
     return df.withColumns(made) if made else df
 
 
-def replace_outliers_median(df: DataFrame, params: Params) -> DataFrame:
+def replace_outliers_median(df: DataFrame, params: Params, exact: bool = True) -> DataFrame:
     """Values outside their bounds, and missing ones, become the median of the table at hand."""
-    names = [c for c in params.bounds if c in df.columns]
-    row = _first(df, [F.percentile(number(df, c), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(names)])
+    found = quantiles(df, {c: number(df, c) for c in params.bounds if c in df.columns}, [0.5], exact)
     made = {}
-    for i, c in enumerate(names):
+    for c, median in found.items():
         low, high = params.bounds[c]
-        made[c] = F.when(number(df, c).between(low, high), number(df, c)).otherwise(F.lit(row[f"m{i}"]).cast("double"))
+        made[c] = F.when(number(df, c).between(low, high), number(df, c)).otherwise(F.lit(median and median[0]).cast("double"))
     return df.withColumns(made) if made else df
 
 
@@ -178,11 +170,7 @@ def cardinality_split(df: DataFrame, max_one_hot: int = 5, skip: tuple[str, ...]
 def label_table(df: DataFrame, column: str) -> DataFrame:
     """(value, code): codes from 0 in the order of the values, by ranges of values, so that no task sorts them all."""
     values = df.select(col(column).alias("value")).where("value is not null").distinct()
-    at = values.select(F.substring("value", 1, 2).alias("head")).groupBy("head").count()
-    heads = at.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = values.withColumn("head", F.substring("value", 1, 2)).join(heads, "head")
-    place = F.row_number().over(Window.partitionBy("head").orderBy("value")) - 1
-    return ranked.select("value", (place + F.col("before")).cast("long").alias("code"))
+    return dense_positions(values, "value", "code")
 
 
 def fit_encoder(df: DataFrame, params: Params, max_one_hot: int = 5) -> None:

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.shared import dense_positions
 from plumbline.functions.values import col, hmac_sha256, is_missing, quoted, seeded_number
 
 FIRST_NAMES = ["Alma", "Bruno", "Celia", "Dario", "Elena", "Fabio", "Greta", "Hugo", "Irma", "Jonas", "Karla", "Luis", "Mina", "Nils", "Olga", "Pablo"]
 LAST_NAMES = ["Arden", "Blum", "Castel", "Dorn", "Elvas", "Ferro", "Gran", "Holm", "Ives", "Jarre", "Kern", "Lund", "Maro", "Noll", "Orsini", "Pardo"]
 STREETS = ["Mill Lane", "River Road", "Station Street", "Garden Way", "Church Hill", "Market Square", "Harbour Row", "North Avenue"]
-#: The first kind whose word is in a column's name is the kind of its replacements; a name with none gets numbered ids.
+# The first kind whose word is in a column's name is the kind of its replacements; a name with none gets numbered ids.
 KINDS = [("person", ["name", "nom", "prenom"]), ("email", ["email"]), ("phone", ["phone", "tel"]), ("address", ["address", "adresse"]), ("ssn", ["ssn", "nss", "nin"]), ("ip", ["ip"])]
-#: Bounds of the ranges that dense_rank_of() deals rows by.
-RANGES = 64
 
 
 def drop_identifiers(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,23 +32,8 @@ def replacement_kind(column: str) -> str:
 
 
 def with_position(df: DataFrame, row_id: str, name: str) -> DataFrame:
-    """Adds the row's place in the order of row_id, from 0, without sending all rows through one task.
-
-    Rows are dealt to ranges of row_id; a range's rows are counted, and its first place is the sum of the counts before.
-    """
-    bounds = df.agg(F.percentile_approx(col(row_id), [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    below = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + F.when(b < col(row_id), 1).otherwise(0)) if bounds else F.lit(0)
-    dealt = df.withColumn("_range", below)
-    counts = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}
-    first, total = {}, 0
-    for part in sorted(counts):
-        first[part], total = total, total + counts[part]
-    if not first:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    start = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.col("_range")]
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(quoted(row_id))) - 1 + start
-    return dealt.withColumn(name, place.cast("long")).drop("_range")
+    """Adds the row's place in the order of row_id, from 0."""
+    return dense_positions(df, row_id, name)
 
 
 def _pick(values: list[str], at: Column) -> Column:

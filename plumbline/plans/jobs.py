@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.operators.features import FeatureConfig, fit_transform, save_params
 from plumbline.operators.kanon import AnonymizeConfig, anonymization_report, anonymize
 from plumbline.operators.quality import QualityConfig, gate, verify
-from plumbline.sources.tables import read_table_csv, write_report_json
+from plumbline.sources.tables import read_delimited, read_table_csv, write_csv_quoted, write_report_json
 from plumbline.sources.versions import write_version
 
 
@@ -79,8 +79,8 @@ def run_pipeline(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description="Anonymize, check and prepare a table.")
-    p.add_argument("--stage", choices=["all", "anonymize", "verify", "transform"], default="all")
-    p.add_argument("--path", required=True, help="a .csv file, or a Parquet folder of the stage before")
+    p.add_argument("--stage", choices=["all", "collect", "anonymize", "verify", "transform"], default="all")
+    p.add_argument("--path", required=True, help="a .csv, .txt or .data file, or the folder of the stage before")
     p.add_argument("--output", required=True)
     p.add_argument("--k", type=int, default=3)
     p.add_argument("--strategy", choices=["drop", "hash", "replace"], default="replace")
@@ -91,16 +91,28 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
+def source(spark: SparkSession, path: str) -> DataFrame:
+    """A table by the end of its name: .csv (a file, or the folder that collecting makes), another delimited file, or Parquet."""
+    name = path.lower().rstrip("/")
+    if name.endswith(".csv"):
+        return read_table_csv(spark, path)
+    return read_delimited(spark, path) if name.endswith((".txt", ".data")) else spark.read.parquet(path)
+
+
 def main(argv: list[str] | None = None) -> int:
     """Exit code 0, or 1 if the gate rejects the table or the run fails."""
     a = arguments(argv)
     spark = SparkSession.builder.appName("plumbline").getOrCreate()
-    df = read_table_csv(spark, a.path) if a.path.lower().endswith(".csv") else spark.read.parquet(a.path)
+    df = source(spark, a.path)
     skip = (a.row_id,) if a.row_id else ()
     config = JobConfig(AnonymizeConfig(a.k, a.strategy, a.key, a.row_id), QualityConfig(a.missing_threshold, row_id=a.row_id), FeatureConfig(skip=skip), a.output, a.version)
     if a.stage == "all":
         return int(not run_pipeline(df, config).success)
-    if a.stage == "anonymize":
+    if a.stage == "collect":
+        if df.isEmpty():
+            return 1
+        write_csv_quoted(df, f"{a.output}/raw.csv")
+    elif a.stage == "anonymize":
         anonymize(df, config.anonymize).write.mode("overwrite").parquet(f"{a.output}/anonymized")
     elif a.stage == "verify":
         results = verify(df, config.quality).persist(StorageLevel.MEMORY_AND_DISK)

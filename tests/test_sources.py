@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,39 @@ def test_job(spark, tmp_path):
     argv = ["--path", str(tmp_path / "in.csv"), "--output", str(tmp_path / "o"), "--strategy", "hash", "--key", "k"]
     assert [jobs.main([*argv, "--stage", s]) for s in ("anonymize", "verify", "transform", "all")] == [0, 0, 0, 0]
     assert QualityConfig().missing_threshold == jobs.arguments(argv).missing_threshold
+
+
+def plain_rows(html):
+    """Rows of a page without tables, by patterns: its text if that is delimited, else its items with two texts."""
+    import csv as csv_module
+    import html as html_module
+
+    bare = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", "", html)
+    text = html_module.unescape(re.sub(r"(?s)<!--.*?-->|<[^>]*>", "", bare)).strip()
+    if "\n" in text and ("," in text or "\t" in text):
+        lines = [x for x in text.splitlines() if x.strip()]
+        found = list(csv_module.reader(lines, delimiter=tables.sniff_separator(lines[0])))
+        if all(len(r) <= len(found[0]) for r in found[1:]):
+            return [("text", i, n, (r[j] or None) if j < len(r) else None) for i, r in enumerate(found[1:]) for j, n in enumerate(found[0])]
+    return []
+
+
+def test_web_pages_by_a_plain_reading(spark):
+    from plumbline.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    want = [(r["page_id"], *cell) for r in spark.read.parquet(f"{folder}/pages.parquet").collect() for cell in plain_rows(r["html"])]
+    got = [tuple(r) for r in QUERIES["extract_web_pages"](spark, folder).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_collect_is_a_stage(spark, tmp_path):
+    from plumbline.plans.jobs import main
+
+    (tmp_path / "in.data").write_text("a;b\n1;x\n2;y\n3;y\n")
+    assert main(["--stage", "collect", "--path", str(tmp_path / "in.data"), "--output", str(tmp_path / "out")]) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/raw.csv")).count() == 3
+    assert main(["--stage", "anonymize", "--k", "1", "--path", str(tmp_path / "out/raw.csv"), "--output", str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out/anonymized")).count() == 3
+    (tmp_path / "none.data").write_text("a;b\n")
+    assert main(["--stage", "collect", "--path", str(tmp_path / "none.data"), "--output", str(tmp_path / "out2")]) == 1
