@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,42 +29,47 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-#: A member filter is sent to every executor; it has at most so many bits (16 MB).
-MEMBER_BITS = 1 << 27
+#: A member filter is sent to every executor, in blocks of 1024 longs; it has at most so many bits (16 MB).
+MEMBER_BITS, BLOCK_BITS = 1 << 27, 1 << 16
 
 
-def maybe_member(keys: DataFrame, key: str, most: int = MEMBER_BITS) -> Callable[[Column], Column]:
-    """A function from a long column to a boolean one: true for each of the keys, and for few others.
+def spots_of(packed: Column) -> Column:
+    """The two positions that an int holds."""
+    return F.array(packed.bitwiseAND(BLOCK_BITS - 1), F.shiftrightunsigned(packed, 16))
 
-    A Bloom filter of two positions and about ten bits a key.  Beyond `most` bits more and more others pass as well, so
-    it may decide which rows take the longer way and never what becomes of them.
-    """
-    spark = keys.sparkSession
-    bits = max(64, min(most, 1 << max(0, keys.count() * 10 - 1).bit_length()))
-    places = keys.select(F.explode(F.array(F.pmod(F.col(key), F.lit(bits)), F.pmod(F.xxhash64(key), F.lit(bits)))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask")).toArrow()
-    packed = np.zeros(bits // 64, "u8")
-    packed[words["word"].to_numpy()] = words["mask"].to_numpy().view("u8")
-    shared = spark.sparkContext.broadcast(packed)
 
-    @F.pandas_udf("boolean")
-    def held(first: pd.Series, second: pd.Series) -> pd.Series:
-        found = np.ones(len(first), bool)
-        for p in (first.to_numpy("int64"), second.to_numpy("int64")):
-            found &= (shared.value[p >> 6] >> (p & 63).astype("u8") & np.uint64(1)).astype(bool)
-        return pd.Series(found)
+def bit_at(words: str, spot: str) -> str:
+    return f"(shiftright(element_at({words}, shiftright({spot}, 6) + 1), {spot} & 63) & 1L) = 1L"
+
 
-    return lambda c: held(F.pmod(c, F.lit(bits)), F.pmod(F.xxhash64(c), F.lit(bits)))
+def with_maybe(rows: DataFrame, key: Column, keys: DataFrame, most: int = MEMBER_BITS) -> DataFrame:
+    """rows with a column _maybe: true where the long `key` is one of `keys` (column key, distinct), and of few others.
+
+    A Bloom filter of two positions in one block and about ten bits a key.  Beyond `most` bits more and more others pass
+    as well, so it may decide which rows take the longer way and never what becomes of them.
+    """
+    keys = durable(keys, "keys")
+    blocks = max(1, min(most, 1 << max(0, keys.count() * 10 - 1).bit_length()) // BLOCK_BITS)
+    packed = keys.select(F.pmod("key", F.lit(blocks)).alias("block"), F.hash("key").alias("spots")).groupBy("block").agg(F.collect_list("spots").alias("spots"))
+    hits = F.flatten(F.transform("spots", lambda x: F.transform(spots_of(x), lambda spot: F.struct(F.shiftright(spot, 6).alias("word"), spot.bitwiseAND(63).alias("bit")))))
+    none = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda word: F.struct(word.alias("word"), F.lit(-1).alias("bit")))  # so that no word is missing
+    each = packed.select("block", F.explode(F.concat(hits, none)).alias("x"))
+    words = each.groupBy("block", "x.word").agg(F.bit_or(F.expr("if(x.bit < 0, 0L, shiftleft(1L, x.bit))")).alias("mask"))
+    table = words.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("words")).select(F.col("block").alias("_block"), F.col("words.mask").alias("_words"))
+    table = F.broadcast(durable(table, "members"))
+    spotted = rows.withColumn("_key", key).withColumns({"_its": F.pmod("_key", F.lit(blocks)), "_spots": spots_of(F.hash("_key"))})
+    met = spotted.join(table, F.col("_its") == F.col("_block"), "left")
+    maybe = F.coalesce(F.expr(f"{bit_at('_words', '_spots[0]')} and {bit_at('_words', '_spots[1]')}"), F.lit(False))
+    return met.select(*rows.columns, maybe.alias("_maybe"))
 
 
 def without(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     """The rows that `gone` (columns `on`, null equal to null) doesn't name.  Only rows that may be named shuffle."""
     key = F.xxhash64(*on)
-    maybe = maybe_member(gone.select(key.alias("key")), "key")(key)
-    rows = rows.withColumn("_maybe", maybe)
+    flagged = with_maybe(rows, key, gone.select(key.alias("key")).distinct())
     named = gone.select(*[F.col(c).alias(f"_its_{c}") for c in on]).distinct()
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_its_{c}")) for c in on])
-    return rows.where(~F.col("_maybe")).unionByName(rows.where("_maybe").join(named, same, "left_anti")).drop("_maybe")
+    return flagged.where(~F.col("_maybe")).unionByName(flagged.where("_maybe").join(named, same, "left_anti")).drop("_maybe")
 
 
 _held: dict[Hashable, object] = {}
@@ -72,6 +78,17 @@ _held: dict[Hashable, object] = {}
 def held_by_worker[X](key: Hashable, make: Callable[[], X]) -> X:
     """What a Python worker keeps from one task to the next: one thing at a time, so that operators don't pile up memory."""
     if key not in _held:
-        _held.clear()
+        hold_nothing()
         _held[key] = make()
     return _held[key]
+
+
+def hold_nothing() -> None:
+    """For operators that keep nothing: what the one before kept goes, and its memory goes back to the machine."""
+    if _held:
+        _held.clear()
+        gc.unfreeze()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
