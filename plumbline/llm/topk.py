@@ -1,18 +1,20 @@
 """Exact top-k by inner product: ball-tree branch and bound in each shard.
 
-Candidates are dealt to shards; each shard's vectors are put into a ball tree.  A query visits nodes in the order of
-their upper bound, query . centre + |query| * radius, and stops when the bound can't reach its kth score.  The kth
-score is shared: every query is first answered on one shard alone, and that score goes with it to the others.
+Candidates are dealt to shards by the nearest of a few pivots, so that a shard is a ball of its own; each shard's vectors
+are put into a ball tree once.  A query visits nodes in the order of their upper bound, query . centre + |query| * radius,
+and stops when the bound can't reach its kth score.  Shards are nodes too: a query goes to its best shard, then to the
+next four, sixteen and so on, as long as their bounds reach the kth score that it has by then, and takes that score along.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.shipping import ship_package
@@ -20,50 +22,64 @@ from plumbline.llm.common import durable
 
 LEAF = 128
 SCALE = 1024
+#: Shards at most, as their centres are sent to every executor; with more rows shards grow.  Pivots at least, as small tables
+#: go the same way, and at most.
+MAX_SHARDS, LEAST_PIVOTS, MAX_PIVOTS = 65_536, 4, 1024
+#: How many times as many shards a query visits from one wave to the next.
+WIDER = 4
+
+
+def bounds(query: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """What the query's inner product with a vector in each ball can't exceed, rounding included."""
+    norm = np.sqrt((query**2).sum())
+    value = centres @ query + norm * radii
+    return value + 1e-9 * (np.abs(value) + norm * (np.sqrt((centres**2).sum(1)) + radii)) + 1e-6
 
 
 class BallTree:
-    """Nodes over integer vectors; leaves hold LEAF at most (more only of equal vectors)."""
+    """Nodes over integer vectors; leaves hold LEAF at most (more only of equal vectors), in a row."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.real = vectors.astype("float64")
-        self.nodes: list[tuple[np.ndarray, float, np.ndarray | None, int, int]] = []  # centre, radius, rows of a leaf, children
+        real = vectors.astype("float64")
+        self.nodes: list[tuple[np.ndarray, float, tuple[int, int] | None, int, int]] = []  # centre, radius, rows of a leaf, children
+        order: list[np.ndarray] = []
         todo = [(np.arange(len(ids)), -1, 0)] if len(ids) else []
         links: list[list[int]] = []
+        filled = 0
         while todo:
             rows, parent, side = todo.pop()
-            points = self.real[rows]
+            points = real[rows]
             centre = points.mean(0)
             far = ((points - centre) ** 2).sum(1)
             at = len(self.nodes)
             if parent >= 0:
                 links[parent][side] = at
             links.append([-1, -1])
-            self.nodes.append((centre, float(np.sqrt(far.max())), rows, -1, -1))
             if len(rows) > LEAF and far.max() > 0:
                 a = points[far.argmax()]
                 b = points[((points - a) ** 2).sum(1).argmax()]
-                order = np.argsort(points @ (a - b), kind="stable")
+                along = np.argsort(points @ (a - b), kind="stable")
                 half = len(rows) // 2
-                self.nodes[at] = (*self.nodes[at][:2], None, -1, -1)
-                todo += [(rows[order[:half]], at, 0), (rows[order[half:]], at, 1)]
+                self.nodes.append((centre, float(np.sqrt(far.max())), None, -1, -1))
+                todo += [(rows[along[:half]], at, 0), (rows[along[half:]], at, 1)]
+            else:
+                self.nodes.append((centre, float(np.sqrt(far.max())), (filled, filled + len(rows)), -1, -1))
+                order.append(rows)
+                filled += len(rows)
         self.nodes = [(c, r, rows, *links[i]) for i, (c, r, rows, _, _) in enumerate(self.nodes)]
-        self.exact = "float64" if not len(ids) or vectors.shape[1] * float(np.abs(self.real).max()) ** 2 < 2**52 else "int64"
+        placed = np.concatenate(order) if order else np.arange(0)
+        self.ids, self.vectors, self.real = ids[placed], vectors[placed], real[placed]
+        self.centres, self.radii = np.array([n[0] for n in self.nodes]), np.array([n[1] for n in self.nodes])
+        self.most = float(np.abs(self.real).max(initial=0))
 
     def search(self, query: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
         """The k best (score, -id) but `own`, none below floor, best first; ties go to smaller ids."""
         real = query.astype("float64")
         norm = float(np.sqrt((real**2).sum()))
-        wide = self.exact == "float64" and len(query) * norm * max(1.0, float(np.abs(self.real).max(initial=0))) < 2**52
+        exact = len(query) * max(norm, self.most, 1.0) * max(1.0, self.most) < 2**52
         best: list[tuple[int, int]] = []  # a heap, the least first
-
-        def bound(i: int) -> float:
-            centre, radius = self.nodes[i][:2]
-            value = float(real @ centre) + norm * radius
-            return value + 1e-9 * (abs(value) + norm * (float(np.sqrt((centre**2).sum())) + radius)) + 1e-6
-
-        queue = [(-bound(0), 0)] if self.nodes else []
+        reach = bounds(real, self.centres, self.radii).tolist() if self.nodes else []
+        queue = [(-reach[0], 0)] if self.nodes else []
         while queue:
             top, i = heapq.heappop(queue)
             least = best[0][0] if len(best) == k else floor
@@ -72,20 +88,20 @@ class BallTree:
             _, _, rows, left, right = self.nodes[i]
             if rows is None:
                 for child in (left, right):
-                    heapq.heappush(queue, (-bound(child), child))
+                    if least is None or reach[child] >= least:
+                        heapq.heappush(queue, (-reach[child], child))
                 continue
-            if wide:
-                scores = (self.real[rows] @ real).astype("int64")
+            low, high = rows
+            if exact:
+                scores = self.real[low:high] @ real
             else:
-                scores = np.array([sum(int(x) * int(y) for x, y in zip(self.vectors[r], query, strict=True)) for r in rows], object)
-            ids = self.ids[rows]
-            near = np.flatnonzero(ids != own)
-            if least is not None:
-                near = near[scores[near] >= least]
+                scores = np.array([sum(int(x) * int(y) for x, y in zip(v, query, strict=True)) for v in self.vectors[low:high]], object)
+            near = np.flatnonzero(scores >= least) if least is not None else np.arange(high - low)
+            near = near[self.ids[low + near] != own]
             if len(near) > k:
-                near = near[np.lexsort((ids[near], -scores[near]))[:k]]
-            for j in near:
-                item = (int(scores[j]), -int(ids[j]))
+                near = near[np.lexsort((self.ids[low + near], -scores[near]))[:k]]
+            for j in near.tolist():
+                item = (int(scores[j]), -int(self.ids[low + j]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -100,51 +116,116 @@ def integer_vectors(embeddings: DataFrame, vec_id: str, vector: str) -> DataFram
     return rows.where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & sound).select("vec_id", F.transform("x", lambda x: F.floor(x * SCALE)).alias("x"))
 
 
-def _answers(key: tuple, left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+def _nearest(x: pd.Series, pivots: dict[int, np.ndarray]) -> pd.Series:
+    out = np.zeros(len(x), "int64")
+    sizes = x.map(len).to_numpy()
+    for size in np.unique(sizes):
+        mine = np.flatnonzero(sizes == size)
+        points, near = np.stack(x.iloc[mine].to_numpy()).astype("float64"), pivots[int(size)]
+        out[mine] = ((near**2).sum(1)[None, :] - 2 * points @ near.T).argmin(1)
+    return pd.Series(out)
+
+
+def _tree(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    tree = BallTree(rows["vec_id"].to_numpy("int64"), np.stack(rows["x"].to_numpy()).astype("int64"))
+    centre, radius = tree.nodes[0][:2]
+    return pd.DataFrame({"size": [key[0]], "pivot": [key[1]], "part": [key[2]], "centre": [centre.tolist()], "radius": [radius], "tree": [pickle.dumps(tree)]})
+
+
+def _answers(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     found = []
-    for size, rows in left.groupby(left["x"].map(len)):
-        tree = BallTree(rows["vec_id"].to_numpy("int64"), np.stack(rows["x"].to_numpy()).astype("int64"))
-        for q in right[right["x"].map(len) == size].itertuples():
+    for blob in left["tree"] if len(right) else []:
+        tree = pickle.loads(blob)
+        for q in right.itertuples():
             floor = None if pd.isna(q.floor) else int(q.floor)
             found += [(q.vec_id, -i, s) for s, i in tree.search(np.asarray(q.x, "int64"), q.vec_id, k, floor)]
     return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
-def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 4_000, query_rows: int = 2_000, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def shard_trees(base: DataFrame, shard_rows: int) -> DataFrame:
+    """(shard, size, centre, radius, tree): a tree of each shard of base (vec_id, x), written to the shared folder."""
+    spark = base.sparkSession
+    counts = {r["size"]: r["count"] for r in base.groupBy(F.size("x").alias("size")).count().collect()}  # a row for each length of vectors
+    shard_rows = max(shard_rows, 2 * -(-sum(counts.values()) // MAX_SHARDS))
+    wanted = {size: max(LEAST_PIVOTS, min(n // shard_rows, MAX_PIVOTS)) for size, n in counts.items()}
+    order = Window.partitionBy("size").orderBy(F.xxhash64("vec_id"), "vec_id", "x")
+    first = base.select("vec_id", "x", F.size("x").alias("size")).withColumn("at", F.row_number().over(order)).where(f"at <= {MAX_PIVOTS}").where(
+        F.col("at") <= F.create_map(*[F.lit(v) for pair in wanted.items() for v in pair])[F.col("size")] if wanted else F.lit(False)
+    )
+    pivots: dict[int, list] = {}
+    for r in first.select("size", "x").collect():
+        pivots.setdefault(r["size"], []).append(r["x"])
+    shared = spark.sparkContext.broadcast({size: np.array(x, "float64") for size, x in pivots.items()})
+    nearest = F.pandas_udf(lambda x: _nearest(x, shared.value), "long")
+    placed = durable(base.select("vec_id", "x", F.size("x").alias("size"), nearest("x").alias("pivot")), "placed")
+    # a pivot with many vectors, equal ones perhaps, has several shards
+    parts = placed.groupBy("size", "pivot").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("parts"))
+    dealt = placed.join(F.broadcast(parts), ["size", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    trees = dealt.groupBy("size", "pivot", "part").applyInPandas(_tree, "size int, pivot long, part long, centre array<double>, radius double, tree binary")
+    return durable(trees.withColumn("shard", F.xxhash64("size", "pivot", "part")), "trees")
+
+
+def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 2_000, query_rows: int = 2_000, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products over all rows but its own id.
 
     Fewer than k if there are fewer; ties go to the smaller vec_id.  Vectors that are null, empty, or hold null or
     non-finite components take no part; vectors of another length than the query's aren't scored.  Rows that repeat a
-    vec_id and vector are one.  A shard holds about shard_rows candidates and meets query_rows queries at a time.
-    Scores have to fit a long.  Other columns are ignored, so their names can't clash.  Empty tables give an empty result.
+    vec_id and vector are one.  A shard holds about shard_rows candidates (more beyond MAX_SHARDS / 2 shards) and meets
+    query_rows queries at a time.  Scores have to fit a long.  Other columns are ignored, so their names can't clash.
+    Empty tables give an empty result.
     """
     spark = embeddings.sparkSession
     ship_package(spark)
     base = durable(integer_vectors(embeddings, vec_id, vector).dropDuplicates(["vec_id", "x"]), "vectors")
     asked = durable(integer_vectors(queries, vec_id, vector).dropDuplicates(["vec_id", "x"]), "queries")
-    shards = max(1, -(-base.count() // shard_rows))
-    blocks = max(1, -(-asked.count() // query_rows))
-    base = base.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)))
-
-    def search(candidates: DataFrame, questions: DataFrame) -> DataFrame:
-        pairs = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return (
-            pairs.groupBy("shard", "block")
-            .cogroup(questions.groupBy("shard", "block"))
-            .applyInPandas(lambda key, left, right: _answers(key, left, right, k), "query_id long, vec_id long, score long")
-        )
-
-    unknown = F.lit(None).cast("long")
-    first = durable(search(base.where("shard = 0"), asked.withColumns({"shard": F.lit(0).cast("long"), "floor": unknown})), "first")
-    # the kth score on the first shard, of the queries that have k answers there
-    floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    known = asked.join(floors, asked["vec_id"] == floors["query_id"], "left").drop("query_id")
-    rest = known.withColumn("shard", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max(1, shards - 1)).cast("long"))))
-    every = first if shards == 1 else first.union(search(base.where("shard > 0"), rest))
-    best = every.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
-    flat = best.select("query_id", F.posexplode("best").alias("at", "b"))
-    return flat.select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
+    trees = shard_trees(base, shard_rows)
+    balls = trees.select("shard", "size", "centre", "radius").orderBy("shard").collect()  # MAX_SHARDS at most
+    table = {}
+    for size in {b["size"] for b in balls}:
+        mine = [b for b in balls if b["size"] == size]
+        table[size] = np.array([b["shard"] for b in mine]), np.array([b["centre"] for b in mine]), np.array([b["radius"] for b in mine])
+    shared = spark.sparkContext.broadcast(table)
+
+    def visits(low: int, high: int):
+        """To which shards, from the low-th best on, a query goes next."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = []
+                for q in batch.itertuples():
+                    shards, centres, radii = shared.value.get(len(q.x), (np.zeros(0, "int64"), np.zeros((0, len(q.x))), np.zeros(0)))
+                    reach = bounds(np.asarray(q.x, "float64"), centres, radii)
+                    best = np.argsort(-reach, kind="stable")[low:high]
+                    if not pd.isna(q.floor):
+                        best = best[reach[best] >= q.floor]
+                    found += [(s, q.vec_id, q.x, q.floor) for s in shards[best].tolist()]
+                out = pd.DataFrame(found, columns=["shard", "vec_id", "x", "floor"])
+                yield out.astype({"floor": "Int64"})
+
+        return run
+
+    best = None
+    low, high = 0, 1
+    while low < len(balls):
+        if best is None:
+            known = asked.withColumn("floor", F.lit(None).cast("long"))
+        else:
+            floors = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+            known = asked.join(floors, asked["vec_id"] == floors["query_id"], "left").drop("query_id")
+        pairs = durable(known.mapInPandas(visits(low, high), "shard long, vec_id long, x array<long>, floor long"), "visits")
+        if pairs.isEmpty():
+            break
+        parts = durable(pairs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / query_rows).alias("blocks")), "blocks")
+        dealt = pairs.join(parts, "shard").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("blocks")
+        copies = trees.select("shard", "tree").join(parts, "shard").select("shard", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        more = copies.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(lambda left, right: _answers(left, right, k), "query_id long, vec_id long, score long")
+        every = more if best is None else best.select("query_id", "vec_id", "score").union(more)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        best = durable(every.withColumn("rank", rank).where(F.col("rank") <= k), "best")  # Spark keeps k a query in each task before it shuffles
+        low, high = high, high + (high - low) * WIDER
+    if best is None:
+        best = spark.createDataFrame([], "query_id long, vec_id long, score long, rank int")
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
