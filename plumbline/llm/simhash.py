@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.shipping import ship_package
-from plumbline.llm.common import durable, text_or_empty
-from plumbline.llm.components import components
+from plumbline.llm.common import durable, hold_nothing, text_or_empty
+from plumbline.llm.components import components, one_of_each
 
 BLOCKS, WIDTH = 4, 16
 _FLIPS = [0, *(1 << i for i in range(64 - WIDTH))]
 _SLICE = 1 << 20
+#: Variants that one task emits, about.
+MADE_ROWS = 1_000_000
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -57,7 +59,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        hold_nothing()
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             found = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
@@ -159,7 +162,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_links(prints: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that join exactly those within 3 bits, through others or directly."""
     ship_package(prints.sparkSession)
-    return variants(prints).repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")
+    prints = durable(prints.select("fp"), "simhash-prints")
+    parts = -(-prints.count() * BLOCKS * len(_FLIPS) // MADE_ROWS)  # each row becomes 196, so few rows want many tasks
+    return variants(prints.repartition(max(1, parts), "fp")).repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -174,16 +179,20 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(prints.select("fp")))
     named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = durable(named, "simhash-roots")
+    smallest = durable(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")  # so that the joins can split hot rows
     chosen = named.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return rows.join(chosen, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(durable(chosen, "simhash-chosen"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id.  Rows without a doc_id stay."""
-    found = simhash_components(docs, doc_id, text, words).where("doc_id is not null")
-    gone = durable(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    if docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+    """The rows of docs that stay: of each component over links of at most 3 bits the one with the smallest doc_id.
+
+    Rows that share a doc_id are decided one by one, and rows without one come last; of rows equal in doc_id and text one
+    stays.  A null text counts as empty.  An empty table gives an empty result.
+    """
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text")).withColumn("body", F.xxhash64("text"))
+    named = rows.select(F.struct("id", "body").alias("key"), "text")
+    marks = durable(fingerprints(named, "key", "text", words).select("doc_id.id", "doc_id.body", F.col("fp").alias("node")), "simhash-marks")
+    return one_of_each(docs, doc_id, text, marks, components(near_links(marks.select(F.col("node").alias("fp")).distinct())))

@@ -80,6 +80,19 @@ def test_dense_balls(spark, width):
     assert sorted(mine.values()) == sorted(want.values())
 
 
+def test_near_dedup_decides_by_row(spark):
+    a, b = prose(1, 60), " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (None, a), (None, "alone among these")]
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, a), (2, b), (None, "alone among these")])
+
+
+def test_nameless_rows(spark):
+    df = spark.createDataFrame([(None, prose(1, 60)), (None, None), (4, prose(1, 60)), (9, "alone among these words")], "doc_id long, text string")
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.simhash_components(df).collect()}
+    assert sorted(got.values(), key=str) == [4, 4, 9, None] and got[None, "0" * 16] is None
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (7, 6), (7, 6)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
