@@ -18,7 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.shipping import ship_package
@@ -29,7 +29,7 @@ BITS = 16
 PREFIXES, SUFFIXES, GRAMS = (1, 2, 3), (1, 2, 3), (2, 3)
 UNKNOWN = "und"
 BLOCK_WORDS = 100_000
-#: Training sequences, and words in each.
+#: Training sequences, and words in each, unless the caller says otherwise.
 SEQUENCES, SEQUENCE_WORDS = 3000, 48
 
 
@@ -99,16 +99,16 @@ def marginals(emission: np.ndarray, first: np.ndarray, start: np.ndarray, step:
     return p / p.sum(1, keepdims=True)
 
 
-def _sequences(rows: list[tuple[int, str, int]], rng: np.random.Generator) -> list[tuple[list[str], list[int]]]:
+def _sequences(rows: list[tuple[int, str, int]], rng: np.random.Generator, sequences: int, sequence_words: int) -> list[tuple[list[str], list[int]]]:
     """Training sequences of one to three stretches of documents; half of them switch languages."""
     texts = [(words, c) for _, text, c in rows if (words := words_of(text))]
     out = []
-    for _ in range(SEQUENCES if texts else 0):
+    for _ in range(sequences if texts else 0):
         parts = 1 + int(rng.integers(0, 2) * rng.integers(1, 3))
         words, labels = [], []
         for d in rng.integers(0, len(texts), parts):
             body, c = texts[d]
-            size = max(1, SEQUENCE_WORDS // parts)
+            size = max(1, sequence_words // parts)
             at = int(rng.integers(0, max(1, len(body) - size + 1)))
             words += body[at : at + size]
             labels += [c] * len(body[at : at + size])
@@ -116,7 +116,9 @@ def _sequences(rows: list[tuple[int, str, int]], rng: np.random.Generator) -> li
     return out
 
 
-def fit_rows(rows: list[tuple[int, str, int]], languages: list[str], epochs: int = 6, penalty: float = 1e-6, seed: int = 7) -> Model:
+def fit_rows(
+    rows: list[tuple[int, str, int]], languages: list[str], epochs: int = 6, penalty: float = 1e-6, seed: int = 7, sequences: int = SEQUENCES, sequence_words: int = SEQUENCE_WORDS
+) -> Model:
     """Adam on the mean log likelihood of the sequences.  rows: (doc_id, text, place of its language)."""
     k = len(languages)
     counts: list[Counter] = [Counter() for _ in languages]
@@ -128,7 +130,7 @@ def fit_rows(rows: list[tuple[int, str, int]], languages: list[str], epochs: int
     lexicon = {w: c for c in range(k) for w, times in counts[c].items() if times >= 5 and times >= 0.9 * together[w]}
     model = Model(languages, np.zeros((1 << BITS, k)), lexicon, np.zeros((k, k)), np.zeros(k), np.zeros((k, k)))
     rng = np.random.default_rng(seed)
-    made = _sequences(rows, rng)
+    made = _sequences(rows, rng, sequences, sequence_words)
     params = [model.weights, model.lexicon_weights, model.start, model.step]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
@@ -199,9 +201,12 @@ def held_out(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows_per_language: int = 1000, learn_from: Column | None = None) -> Model:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows_per_language: int = 1000, learn_from: Column | None = None, sequences: int = SEQUENCES, sequence_words: int = SEQUENCE_WORDS) -> Model:
     """Fit on a sample by hash order of the rows where learn_from holds: fit_rows_per_language of each language at most.
 
+    The lexicons are made from the sample's whole texts.  The transitions and weights are fitted on `sequences` sequences
+    of `sequence_words` words, which are drawn from those texts at any place.
+
     Without any row that has a language, no language is known and every text gets `und`.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & (learn_from if learn_from is not None else F.lit(True)))
@@ -210,11 +215,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((1 << BITS, 0)), {}, np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0)))
-    rate = F.create_map(*[x for c in languages for x in (F.lit(c), F.lit(min(1.0, fit_rows_per_language / counts[c])))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
-    found = chosen.limit(2 * fit_rows_per_language * len(languages)).collect()
+    # somewhat more than is wanted by hash, so that few rows are ordered, and of those the first of each language
+    rate = F.create_map(*[x for c in languages for x in (F.lit(c), F.lit(min(1.0, (2.0 * fit_rows_per_language + 20) / counts[c])))])
+    drawn = F.xxhash64("doc_id", "text")
+    some = rows.where(F.pmod(drawn, F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
+    order = Window.partitionBy("lang").orderBy(F.pmod(drawn, F.lit(1 << 30)), "doc_id", "text")
+    found = some.withColumn("at", F.row_number().over(order)).where(F.col("at") <= fit_rows_per_language).drop("at").collect()
     place = {c: i for i, c in enumerate(languages)}
-    return fit_rows(sorted((r["doc_id"], r["text"], place[r["lang"]]) for r in found), languages)
+    return fit_rows(sorted((r["doc_id"], r["text"], place[r["lang"]]) for r in found), languages, sequences=sequences, sequence_words=sequence_words)
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

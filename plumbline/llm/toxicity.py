@@ -18,7 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.shipping import ship_package
@@ -111,7 +111,10 @@ def _fit(docs: list[tuple[np.ndarray, np.ndarray]], table: tuple[np.ndarray, np.
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, max_fit_rows: int) -> list[tuple[str, int, float]]:
-    """(text, toxic, weight) of at most max_fit_rows labelled documents, half of the room for each class, by hash order."""
+    """(text, toxic, weight) of at most max_fit_rows labelled documents, half of the room for each class, by hash order.
+
+    Labels without a doc_id and documents without one, or without a label, are left out; equal rows count each.
+    """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     half = max_fit_rows // 2
@@ -120,7 +123,10 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
         one = marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half)
         chosen = one if chosen is None else chosen.union(one)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return [(r["text"], r["toxic"], max(1.0, counts[r["toxic"]] / half)) for r in rows.limit(2 * max_fit_rows).collect()]
+    # a doc_id that repeats has several texts: of each class the first by hash again, so that the bound holds
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
+    held = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= half)
+    return [(r["text"], r["toxic"], max(1.0, counts[r["toxic"]] / half)) for r in held.collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_fit_rows: int = 6000, steps: int = 150, penalty: float = 1e-4, least_gain: float = 8.0) -> Model:

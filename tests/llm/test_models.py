@@ -90,3 +90,36 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.grade_toxicity(empty(spark), labels).count() == 0
     clean = toxicity.grade_toxicity(docs, labels.withColumn("toxic", F.lit(0))).collect()
     assert max(r["p_toxic"] for r in clean) < 1e-6
+
+
+def plain_severity(text, model):
+    """Word by word, as a sum of each word's own features."""
+    words = toxicity.words_of(text or "")
+    total = 0.0
+    for w in words:
+        feature, _ = toxicity.features([w], toxicity.BITS, toxicity.PREFIXES, toxicity.SUFFIXES, toxicity.GRAMS)
+        total += sum(float(model.weights[f]) for f in feature)
+    score = toxicity.SCALE * total / (len(words) + toxicity.PRIOR_WORDS)
+    upto = [1 / (1 + np.exp(-(c - score))) for c in model.thresholds] + [1.0]
+    p = [b - a for a, b in zip([0.0, *upto], upto, strict=False)]
+    return sum(i * x for i, x in enumerate(p)), int(np.argmax(p)), 1 - p[0]
+
+
+def test_toxicity_by_a_plain_reading(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 200").collect()}
+    rows = toxicity.predict(docs.where("doc_id < 200"), model).collect()
+    for r in rows:
+        severity, grade, p = plain_severity(texts[r["doc_id"]], model)
+        assert np.isclose(r["severity"], severity, atol=1e-6) and np.isclose(r["p_toxic"], p, atol=1e-6) and r["grade"] == grade
+
+
+def test_fits_do_not_depend_on_the_order_of_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").union(spark.createDataFrame([(None, "nameless", "en", "s", 8), (1, "again", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    turned = docs.repartition(7)
+    a, b = (sorted(toxicity.sample_labelled(d, labels, "doc_id", "text", 100)) for d in (docs, turned))
+    assert a == b and len(a) <= 100
+    a, b = (language_id.fit(d, fit_rows_per_language=20, sequences=60) for d in (docs, turned))
+    assert np.array_equal(a.weights, b.weights) and a.lexicon == b.lexicon
