@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.shipping import ship_package
-from plumbline.llm.common import durable, maybe_member, text_or_empty
+from plumbline.llm.common import durable, hold_nothing, text_or_empty, with_maybe
 
 #: A run of aligned lines with fewer words stays: chance and short formulas repeat too.
 MIN_BLOCK_WORDS = 10
@@ -225,6 +225,7 @@ def aligned_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = met.groupBy("doc_id", "body").agg(F.collect_set(F.struct("at", "hash", "words")).alias("lines"))
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_nothing()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -273,12 +274,10 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     whole = whole.withColumns({"id": F.col(f"row.`{doc_id}`"), "body": F.xxhash64(F.coalesce(F.col(f"row.`{text}`"), F.lit("")))})
     # only texts that lose lines shuffle, and a few others; the rest pass straight through
-    key = F.xxhash64("id", "body")
-    maybe = maybe_member(found.select(F.xxhash64("doc_id", "body").alias("key")), "key")
-    whole = whole.withColumn("maybe", maybe(key))
+    whole = with_maybe(whole, F.xxhash64("id", "body"), found.select(F.xxhash64("doc_id", "body").alias("key")))
     kind = found.schema["blocks"].dataType
-    alone = whole.where(~F.col("maybe")).select("row", F.lit(None).cast(kind).alias("blocks"))
-    joined = alone.unionByName(whole.where("maybe").join(found.withColumnRenamed("doc_id", "id"), ["id", "body"], "left").select("row", "blocks"))
+    alone = whole.where(~F.col("_maybe")).select("row", F.lit(None).cast(kind).alias("blocks"))
+    joined = alone.unionByName(whole.where("_maybe").join(found.withColumnRenamed("doc_id", "id"), ["id", "body"], "left").select("row", "blocks"))
 
     gone = F.array_sort(F.flatten(F.col("blocks.places")))
     lines = F.split(F.col(f"row.`{text}`"), "\n")

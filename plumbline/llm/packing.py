@@ -30,7 +30,7 @@ from plumbline.llm.codes import BYTE_LETTERS, Codes
 from plumbline.llm.common import held_by_worker, text_or_empty
 
 #: Parts of texts that a worker keeps before they become the old ones.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: Signs of white space that isn't a single space or line feed between two other characters.
 _WIDE = ["  ", "\n\n", " \n", "\n ", *[c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]]

@@ -12,7 +12,7 @@ import regex
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 HAS_LETTER = regex.compile(r"\p{L}")
 #: Distinct words that a worker keeps scored; beyond that it forgets all and starts again.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

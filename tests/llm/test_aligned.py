@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup
-from plumbline.llm.common import maybe_member
+from plumbline.llm.common import with_maybe
 
 from .helpers import clashing, empty, odd, prose
 from .test_similar import line_docs
@@ -127,8 +127,9 @@ def test_only_texts_that_lose_lines_shuffle(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit(prose(1, 30) + "\n"), body)).otherwise(body).alias("text"))
     out = line_dedup.drop_repeated_lines(df, aligned=True)
     assert out.where(F.col("blocks").isNotNull()).count() == 19 and out.count() == 2000
-    held = maybe_member(spark.range(1000).select(F.xxhash64("id").alias("key")), "key")
-    got = spark.range(20_000).select("id", held(F.xxhash64("id")).alias("m")).groupBy((F.col("id") < 1000).alias("is")).agg(F.avg(F.col("m").cast("int")).alias("share")).collect()
+    flagged = with_maybe(spark.range(20_000), F.xxhash64("id"), spark.range(1000).select(F.xxhash64("id").alias("key")))
+    got = flagged.select("id", F.col("_maybe").alias("m")).groupBy((F.col("id") < 1000).alias("is")).agg(F.avg(F.col("m").cast("int")).alias("share")).collect()
+    assert with_maybe(spark.range(5), F.col("id"), spark.range(0).select(F.col("id").alias("key"))).where("_maybe").count() == 0
     assert {r["is"]: r["share"] == 1.0 if r["is"] else r["share"] < 0.1 for r in got} == {True: True, False: True}
 
 

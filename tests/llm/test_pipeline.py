@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -11,8 +12,9 @@ import corpus_pipeline
 from plumbline.llm import queries
 
 from ..test_queries import SF, same
-from .helpers import SCHEMA, odd_rows
-from .test_similar import brute_components, brute_fingerprint, brute_line_dedup
+from .helpers import SCHEMA, WORDS, odd_rows
+from .test_aligned import brute_aligned
+from .test_near_copies import brute_stay
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -45,16 +47,13 @@ def test_stages(spark, tmp_path):
         if name == "language":
             assert len(after) >= 0.99 * len(before)
         if name == "lines":
-            want = brute_line_dedup([(r["doc_id"], r["text"]) for r in before])
+            want = brute_aligned([(r["doc_id"], r["text"]) for r in before])
             whole = {r["doc_id"]: r["text"] for r in before}
             assert {r["doc_id"]: r["text"] for r in after} == {d: t for d, t in want.items() if t.strip() or t == whole[d]}
             assert all(r["n_chars"] == len(r["text"]) for r in after)
         if name == "near copies":
-            roots = brute_components([brute_fingerprint(r["text"]) for r in before])
-            least = {}
-            for r, root in zip(before, roots, strict=True):
-                least[root] = min(r["doc_id"], least.get(root, r["doc_id"]))
-            assert sorted(r["doc_id"] for r in after) == sorted(least.values())
+            rows = [(r["doc_id"], r["text"]) for r in before]
+            assert sorted(r["doc_id"] for r in after) == sorted(rows[i][0] for i in brute_stay(rows))
         if name == "packing":
             library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
             total = sum(len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for r in before)
@@ -63,6 +62,25 @@ def test_stages(spark, tmp_path):
     assert np.isclose(len(before), corpus_pipeline.run(spark, SF).count())
 
 
+def test_nameless_and_repeated_rows_in_every_stage(spark, tmp_path):
+    """Rows without a doc_id and rows that share one are decided one by one, in each stage on the same table."""
+    clean, toxic = [" ".join(f"{w}{i}" for w in WORDS * 2) for i in range(60)], "vile wretched filth " * 12
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean)] + [(100 + i, toxic + f"v{i} w{i * 7}", "en", "s", 1) for i in range(40)]
+    odd = [(None, toxic + "again", "en", "s", 1), (None, "12 34 !!", "en", "s", 8), (None, clean[3] + " tail", "en", "s", 1), (5, "56 78 !!", "en", "s", 8), (5, clean[5], "en", "s", 1), (7, "some other text of its own that nobody else has", "en", "s", 1)]
+    spark.createDataFrame([(r[0], int(r[0] >= 100)) for r in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows + odd, SCHEMA)
+    kept = lambda stage: {(r["doc_id"], r["text"]) for r in stage(spark, docs, str(tmp_path)).collect()}
+    left = kept(corpus_pipeline.drop_toxic)
+    assert {t for _, t in left} >= {*clean, "12 34 !!"} and not any("vile" in t for _, t in left) and (7, odd[5][1]) in left
+    left = kept(corpus_pipeline.drop_unknown_language)
+    assert (None, "12 34 !!") not in left and (5, "56 78 !!") not in left and {(5, clean[5]), (None, odd[2][1])} <= left
+    left = kept(corpus_pipeline.drop_near_copies)
+    assert {(3, clean[3]), (5, clean[5]), (5, "56 78 !!"), (7, clean[7]), (7, odd[5][1])} <= left and (None, odd[2][1]) not in left
+    assert corpus_pipeline.drop_repeated_lines(spark, docs, "").where("doc_id is null").count() == 3
+    packed = corpus_pipeline.pack(spark, docs, "").groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"] for r in packed} == {r[0] for r in rows + odd}
+
+
 def test_odd_rows_pass_every_stage(spark, tmp_path):
     docs = spark.createDataFrame(odd_rows(), SCHEMA)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
