@@ -29,6 +29,29 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Rows of a range in in_order(), if they make more ranges than the session has shuffle partitions.
+RANGE_ROWS = 1_000_000
+
+
+def in_order(rows: DataFrame, order: list[Column], label: str) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """The rows dealt to ranges of an order: with _range and _at, the place in it from 0, and for each range the number of
+    rows before it and in it.
+
+    Rows that tie are dealt to several ranges as well, by a number of their own, so no key is one task's.  `rows` should
+    be a written table, as it is read twice.  The driver sees one count a range.
+    """
+    tie = F.monotonically_increasing_id()
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    dealt = rows.withColumn("_tie", tie).repartitionByRange(ranges, *order, "_tie").sortWithinPartitions(*order, "_tie")
+    dealt = dealt.withColumn("_mark", F.monotonically_increasing_id()).withColumns({"_range": F.shiftright("_mark", 33).cast("int"), "_at": F.col("_mark").bitwiseAND((1 << 33) - 1)})
+    dealt = durable(dealt.drop("_tie", "_mark"), label)
+    starts, total = {}, 0
+    for r in sorted(dealt.groupBy("_range").count().collect(), key=lambda r: r["_range"]):
+        starts[r["_range"]] = total, r["count"]
+        total += r["count"]
+    return dealt, starts
+
+
 #: A member filter is sent to every executor, in blocks of 1024 longs; it has at most so many bits (16 MB).
 MEMBER_BITS, BLOCK_BITS = 1 << 27, 1 << 16
 

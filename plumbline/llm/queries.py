@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, packing, sharding, simhash, topk, toxicity
+from plumbline.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, packing, resampling, sharding, simhash, topk, toxicity
 from plumbline.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"), aligned=True)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -63,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_resampling": op11_resampling,
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_topk": topk.ORACLE, "op8_license_scan": license_scan.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_topk": topk.ORACLE, "op8_license_scan": license_scan.oracle(), "op11_resampling": resampling.ORACLE}
