@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, minhash, packing, resampling, sharding, simhash, topk, toxicity
+from plumbline.llm import bpe, conversation_trie, exact_dedup, language_id, license_scan, line_dedup, minhash, packing, resampling, sharding, simhash, topk, toxicity
 from plumbline.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints_of_edits(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_resampling": op11_resampling,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_fingerprints": op13_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_topk": topk.ORACLE, "op8_license_scan": license_scan.oracle(), "op11_resampling": resampling.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_topk": topk.ORACLE, "op8_license_scan": license_scan.oracle(), "op11_resampling": resampling.ORACLE, "op12_conversation_trie": conversation_trie.ORACLE}
