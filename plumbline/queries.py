@@ -823,6 +823,34 @@ def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.diff_summary(*_two(spark, sf_dir))
 
 
+_MOVED_OLD = "SELECT row_id, CASE WHEN row_id % 2 = 0 THEN age END AS x, CASE WHEN row_id % 2 = 1 OR row_id % 3 = 0 THEN age END AS y FROM {patients}"
+_MOVED_NEW = "SELECT row_id, y AS x, x AS y FROM ({old}) WHERE row_id % 40 < 20 UNION ALL SELECT * FROM ({old}) WHERE row_id % 40 >= 20"
+_MOVED = f"{P}, a AS ({_MOVED_OLD.format(patients='patients')}), b AS ({_MOVED_NEW.format(old='SELECT * FROM a')})"
+
+
+def _moved(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
+    """Two versions that differ by the columns in which values are missing."""
+    df, root = patients(spark, sf_dir), fresh_path(spark, "versions")
+    old, new = spark.sql(_MOVED_OLD, patients=df), spark.sql(_MOVED_NEW.format(old=_MOVED_OLD), patients=df)
+    versions.write_version(old, root, "v1")
+    versions.write_version(new, root, "v2")
+    return root, old, new
+
+
+@query(f"{_MOVED} SELECT *, 'removed' AS change, 1::BIGINT AS copies FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'added', 1 FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def diff_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The difference of two saved versions, by buckets."""
+    return versions.diff_tags(spark, _moved(spark, sf_dir)[0], "v1", "v2")
+
+
+@query(f"{_MOVED} SELECT 'v2' AS tag, {_APART.format('a', 'b')} AS changed, (SELECT count(*) FROM b) AS rows, (SELECT sum(x) FROM b)::BIGINT AS x, (SELECT sum(y) FROM b)::BIGINT AS y")
+def version_of_moved_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that go from one column to another, nulls the other way, are a change, and are read back as they are."""
+    root, old, _ = _moved(spark, sf_dir)
+    back = versions.read_version(spark, root, "v2").agg(F.count(F.lit(1)).alias("rows"), F.sum("x").cast("long").alias("x"), F.sum("y").cast("long").alias("y"))
+    return versions.status(old, root, "v2").join(back.withColumn("tag", F.lit("v2")), "tag")
+
+
 # --- jobs ----------------------------------------------------------------------------------------------------------
 
 
