@@ -306,6 +306,19 @@ def extract_web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(read(spark, sf_dir, "pages"))
 
 
+#: The same by patterns: what is left without scripts, comments and tags is delimited if no line has more separators than the first.
+@query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g') AS bare FROM pages),
+  t AS (SELECT page_id, regexp_replace(bare, '^\s+|\s+$', '', 'g') AS text FROM b),
+  l AS (SELECT page_id, text, list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_matches(x, '\S')) AS lines FROM t),
+  s AS (SELECT *, CASE WHEN contains(lines[1], ',') THEN ',' WHEN contains(lines[1], chr(9)) THEN chr(9) WHEN contains(lines[1], ';') THEN ';' WHEN contains(lines[1], '|') THEN '|' ELSE ',' END AS sep FROM l),
+  n AS (SELECT page_id, text, list_transform(lines, lambda x: length(x) - length(replace(x, sep, ''))) AS n FROM s),
+  o AS (SELECT page_id, n, contains(text, chr(10)) AND (contains(text, ',') OR contains(text, chr(9))) AND list_max(n) <= n[1] AS ok FROM n)
+  SELECT page_id, CASE WHEN ok THEN 'text' END AS method, CASE WHEN ok THEN len(n) - 1 ELSE 0 END AS rows, CASE WHEN ok THEN n[1] + 1 ELSE 0 END AS fields, CASE WHEN NOT ok THEN 'no table, delimited text or list' END AS reason FROM o""")
+def page_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each raw page was read, or why it wasn't."""
+    return pages.page_reports(read(spark, sf_dir, "pages"))
+
+
 # --- quality -------------------------------------------------------------------------------------------------------
 
 COLUMNS = ["row_id", "patient_id", "name", "age", "gender", "zip_code", "diagnosis", "glucose", "charges", "priority", "diagnosis_date"]

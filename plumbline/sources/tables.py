@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.values import NA_TOKENS, col
+from plumbline.sources.delimited import find_separator
 
-SEPARATORS = ",;\t|"
 #: A dataset page's address gives owner and dataset.
 _DATASET = r"kaggle\.com/datasets/([^/]+)/([^/?#\s]+)"
 
@@ -37,27 +35,32 @@ def infer_types(texts: DataFrame) -> DataFrame:
     return clean.withColumns(made) if made else clean
 
 
-def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Comma-separated, header row, types inferred; a path that can't be read is an error."""
-    return infer_types(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
+def _has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a record may go on over a line's end: some line has an odd number of quotes.  Files without such a line are
+    split among tasks wherever a line ends."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
 
+def _read_csv(spark: SparkSession, path: str, header: bool, separator: str) -> DataFrame:
+    options = spark.read.option("header", header).option("sep", separator).option("escape", '"')
+    return infer_types(options.option("multiLine", _has_quoted_breaks(spark, path)).csv(path))
 
-def sniff_separator(line: str) -> str:
-    """Comma, semicolon, tab or bar; a line with none of them is one column."""
-    try:
-        return csv.Sniffer().sniff(line, SEPARATORS).delimiter
-    except csv.Error:
-        return max(SEPARATORS, key=line.count) if any(s in line for s in SEPARATORS) else ","
+
+def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Comma-separated, header row, types inferred; a path that can't be read is an error."""
+    return _read_csv(spark, path, True, ",")
 
 
 def read_delimited(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """A .csv, .data or .txt file with a separator found from its first line, which is the header unless told otherwise."""
+    """A .csv, .data or .txt file with a separator found from its first line, which is the header unless told otherwise.
+    Line breaks in quotes stay in their field."""
     if not path.lower().endswith((".csv", ".data", ".txt")):
         raise ValueError("a .csv, .data or .txt file is needed")
     first = spark.read.text(path).limit(1).collect()
     if not first:
         return spark.createDataFrame([], T.StructType([]))
-    return infer_types(spark.read.option("header", header).option("sep", sniff_separator(first[0][0])).csv(path))
+    return _read_csv(spark, path, header, find_separator(first[0][0]))
 
 
 def source_url(source: Column) -> Column:

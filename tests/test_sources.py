@@ -7,6 +7,7 @@ from plumbline.operators.kanon import AnonymizeConfig
 from plumbline.operators.quality import QualityConfig
 from plumbline.plans import jobs
 from plumbline.sources import pages, tables, versions
+from plumbline.sources.delimited import find_separator
 
 
 def test_types_are_inferred(spark, tmp_path):
@@ -109,7 +110,7 @@ def plain_rows(html):
     text = html_module.unescape(re.sub(r"(?s)<!--.*?-->|<[^>]*>", "", bare)).strip()
     if "\n" in text and ("," in text or "\t" in text):
         lines = [x for x in text.splitlines() if x.strip()]
-        found = list(csv_module.reader(lines, delimiter=tables.sniff_separator(lines[0])))
+        found = list(csv_module.reader(lines, delimiter=find_separator(lines[0])))
         if all(len(r) <= len(found[0]) for r in found[1:]):
             return [("text", i, n, (r[j] or None) if j < len(r) else None) for i, r in enumerate(found[1:]) for j, n in enumerate(found[0])]
     return []
