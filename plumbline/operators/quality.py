@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline.functions.values import col, is_missing, kinds, long_form, long_forms, number, number_like_columns, numeric_columns, quoted
+from plumbline.functions.dates import ISO, formats, moment
+from plumbline.functions.values import col, is_missing, long_form, long_forms, number, number_like_columns, numeric_columns, quoted
 
 # The range of plausible values by a word in the column's name; words of columns that can't be negative;
 # pairs of columns of which the first can't be before the second.
@@ -114,17 +114,8 @@ def domain_violations(df: DataFrame, custom_rules: dict[str, tuple[float, float]
     values = [F.struct(F.lit(c).alias("column"), F.lit(rule).alias("rule"), number(df, c).alias("v"), col(row_id).alias("o")) for c, rule, _, _ in pairs]
     outside = [(number(df, c) < low) | (number(df, c) > high) for c, _, low, high in pairs]
     shown = df.select(F.explode(F.array_compact(F.array(*[F.when(o, v) for o, v in zip(outside, values, strict=True)]))).alias("x")).select("x.*")
-    # the least row ids of each column: a few are kept on each side of the shuffle
-    lowest = shown.groupBy("column", "rule").agg(F.min_by("v", "o").alias("v1"), F.min("o").alias("o1"))
-    firsts = [lowest.select("column", "rule", F.col("v1").alias("v"), F.col("o1").alias("o"))]
-    rest = shown
-    for _ in range(examples - 1):
-        rest = rest.join(F.broadcast(firsts[-1].select("column", "rule", F.col("o").alias("_o"))), ["column", "rule"]).where("o > _o").drop("_o")
-        nxt = rest.groupBy("column", "rule").agg(F.min_by("v", "o").alias("v"), F.min("o").alias("o"))
-        firsts.append(nxt)
-    every = firsts[0]
-    for f in firsts[1:]:
-        every = every.unionByName(f)
+    order = Window.partitionBy("column", "rule").orderBy("o", "v")  # a limit in each group: a few rows of it leave each task
+    every = shown.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= examples)
     lists = every.groupBy("column", "rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("examples"))
     return last.join(lists, ["column", "rule"]).select("column", "rule", "low", "high", "count", "examples")
 
@@ -136,26 +127,23 @@ def check_domain(df: DataFrame, custom_rules: dict[str, tuple[float, float]] | N
     return _result(row, "domain", F.when(F.col("n") == 0, "pass").otherwise("warn"), F.format_string("%d columns with values outside their range", "n"), F.col("n"), None, F.col("details"))
 
 
-def _moment(df: DataFrame, name: str) -> Column:
-    kind = kinds(df)[name]
-    return col(name).cast("timestamp") if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType) else F.try_to_timestamp(col(name).cast("string"))
-
-
-def _date_parts(df: DataFrame) -> Parts:
+def _date_parts(df: DataFrame, row_id: str | None = None) -> Parts:
+    pairs = [(a, b) for a, b in DATE_PAIRS if a in df.columns and b in df.columns]
+    how = formats(df, [c for pair in pairs for c in pair], row_id)
     parts = {}
-    for a, b in DATE_PAIRS:
-        if a in df.columns and b in df.columns:
-            bad = (col(a).isNotNull() & _moment(df, a).isNull()) | (col(b).isNotNull() & _moment(df, b).isNull())
-            parts[a] = {"count": F.count_if(_moment(df, a) < _moment(df, b)), "bad": F.count_if(bad)}
+    for a, b in pairs:
+        first, second = moment(df, a, how.get(a, ISO)), moment(df, b, how.get(b, ISO))
+        bad = (col(a).isNotNull() & first.isNull()) | (col(b).isNotNull() & second.isNull())
+        parts[a] = {"count": F.count_if(first < second), "bad": F.count_if(bad)}
     return parts
 
 
-def date_order_violations(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+def date_order_violations(df: DataFrame, counted: DataFrame | None = None, row_id: str | None = None) -> DataFrame:
     """(issue, column, count): rows in which the first date of a pair is before the second.
 
-    A missing date never counts; a pair with a value that can't be parsed gives no row.
+    Each text column is read by the format found for it (functions/dates.py).  A missing date never counts; a pair with a value that can't be parsed gives no row.
     """
-    parts = _date_parts(df)
+    parts = _date_parts(df, row_id)
     if not parts:
         return df.sparkSession.createDataFrame([], "issue string, column string, count long")
     counts = long_form(df, parts) if counted is None else counted
@@ -245,7 +233,7 @@ def verify(df: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     outside their range, where there are any, read it again.
     """
     requests = [
-        (_missing_parts(df), "column"), (_domain_parts(df, config.domain_rules), "pair"), (_date_parts(df), "column"), (_negative_parts(df), "column"), (_moment_parts(df), "column"),
+        (_missing_parts(df), "column"), (_domain_parts(df, config.domain_rules), "pair"), (_date_parts(df, config.row_id), "column"), (_negative_parts(df), "column"), (_moment_parts(df), "column"),
     ]
     missing, domain, dates, negatives, moments_ = long_forms(df, requests) if df.columns else [None] * 5
     row_id = config.row_id if domain is not None and "count" in domain.columns and not domain.where("count > 0").isEmpty() else None

@@ -486,6 +486,20 @@ def date_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.date_features(df, params)
 
 
+_WRITTEN = "CASE o_orderkey % 10 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN 'soon' WHEN 2 THEN NULL ELSE strftime(o_orderdate, '%d/%m/%Y') END"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, {_WRITTEN} AS visit_date FROM orders), d AS (SELECT o_orderkey, try_strptime(visit_date, '%d/%m/%Y') AS at FROM t)
+  SELECT o_orderkey, strftime(at, '%Y-%m-%d') AS visit_date, year(at)::INT AS visit_date_year, month(at)::INT AS visit_date_month, (isodow(at) - 1)::INT AS visit_date_dayofweek FROM d""")
+def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates written day first, a few of them in another way, which are missing."""
+    day = F.expr("CASE o_orderkey % 10 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN 'soon' WHEN 2 THEN NULL ELSE date_format(o_orderdate, 'dd/MM/yyyy') END")
+    df = read(spark, sf_dir, "orders").select("o_orderkey", day.alias("visit_date"))
+    params = features.Params(skip=("o_orderkey",))
+    features.fit_dates(df, params)
+    return features.date_features(df, params)
+
+
 _MODE = "(SELECT priority FROM patients WHERE priority IS NOT NULL GROUP BY priority ORDER BY count(*) DESC, priority LIMIT 1)"
 _IMPUTED = f"""imputed AS (SELECT row_id, patient_id::DOUBLE AS patient_id, age::DOUBLE AS age, coalesce(glucose, (SELECT quantile_cont(glucose, 0.5) FROM patients)) AS glucose,
   coalesce(charges, (SELECT quantile_cont(charges, 0.5) FROM patients)) AS charges, gender, coalesce(priority, {_MODE}) AS priority, diagnosis FROM patients)"""
