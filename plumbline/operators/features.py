@@ -201,7 +201,8 @@ def _joined_codes(out: DataFrame, column: str, table: DataFrame, heavy: dict[str
     known = F.create_map(*[F.lit(x) for v, i in heavy.items() for x in (v, i)])[value] if heavy else F.lit(None).cast("int")
     apart = value.isNull() | known.isNotNull()
     keyed = out.withColumns({"_known": known, "_key": F.when(~apart, value), "_deal": F.when(apart, F.pmod(F.monotonically_increasing_id(), F.lit(4096)) + 1).otherwise(0)})
-    codes = table.select(F.col("value").alias("_key"), F.col("code").alias("_code"), F.lit(0).cast("long").alias("_deal"))
+    none = F.pmod("code", F.lit(1)).cast("long")  # always 0; a literal would be taken out of the join's keys
+    codes = table.select(F.col("value").alias("_key"), F.col("code").alias("_code"), none.alias("_deal"))
     met = keyed.join(codes, ["_key", "_deal"], "left").withColumn(column, F.coalesce("_known", "_code", F.lit(-1)).cast("long"))
     return met.select(*[quoted(c) for c in out.columns])
 
@@ -246,15 +247,16 @@ def encode(df: DataFrame, params: Params) -> DataFrame:
 
 
 def fit_scaler(df: DataFrame, params: Params, method: str = "standard") -> None:
+    """What to subtract and divide by; a column of one value is divided by 1 (its deviation may be rounding, so its ends say so)."""
     names = numeric_columns(df, params.skip)
-    two = (F.avg, F.stddev_pop) if method == "standard" else (F.min, F.max)
-    row = _first(df, [f(number(df, c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in zip("ab", two, strict=True)])
+    parts = {"a": F.avg, "b": F.stddev_pop, "lo": F.min, "hi": F.max} if method == "standard" else {"lo": F.min, "hi": F.max}
+    row = _first(df, [f(number(df, c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in parts.items()])
     params.scales = {}
     for i, c in enumerate(names):
-        a, b = row[f"a{i}"], row[f"b{i}"]
-        if a is not None:
-            width = float(b) if method == "standard" else float(b) - float(a)
-            params.scales[c] = (float(a), width or 1.0)
+        low, high = row[f"lo{i}"], row[f"hi{i}"]
+        if low is not None:
+            plain = method != "standard" or low == high
+            params.scales[c] = _scale_of(low if plain else row[f"a{i}"], 0.0 if plain else row[f"b{i}"], low, high, method)
 
 
 def scale(df: DataFrame, params: Params) -> DataFrame:
