@@ -4,7 +4,7 @@ A document's partners are the earliest document that holds each of its lines, an
 lines just long enough to be deleted: a line that a million documents share names a million pairs, not their square, and
 a whole copy meets its original even if every line stood elsewhere before.  For each pair all shared lines are aligned by
 patience diff: lines that are rare (once in each document of the pair) anchor the longest chain that keeps the order of
-both, chains of what crosses follow until none is left, and repeated lines are hung on the chains beside them.  A run of
+both, the longest chains of what crosses follow until none is left, and repeated lines are hung on the chains beside them.  A run of
 lines that follow each other in the later document, of one pair and one chain and rising in the earlier document, is
 deleted if it holds enough words; what moves between documents are line hashes and positions, never texts.
 
@@ -30,43 +30,64 @@ from plumbline.llm.common import durable, hold_nothing, text_or_empty, with_mayb
 MIN_BLOCK_WORDS = 10
 
 
-def patience_chain(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest chain of (later, earlier) places that rises in both; places come sorted by the first."""
-    tops: list[int] = []
-    ends: list[int] = []
-    back: list[int] = []
-    for i, (_, earlier) in enumerate(places):
-        pile = bisect_left(tops, earlier)
-        back.append(ends[pile - 1] if pile else -1)
-        if pile == len(tops):
-            tops.append(earlier)
-            ends.append(i)
+def blocks_of(places: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Places (later, earlier), sorted, in blocks that go on by one in both.  A longest chain has a block whole or not at all."""
+    out: list[list[tuple[int, int]]] = []
+    for at, earlier in places:
+        if out and out[-1][-1] == (at - 1, earlier - 1):
+            out[-1].append((at, earlier))
         else:
-            tops[pile], ends[pile] = earlier, i
-    out, i = [], ends[-1] if ends else -1
-    while i >= 0:
-        out.append(places[i])
-        i = back[i]
+            out.append([(at, earlier)])
+    return out
+
+
+def heaviest_chain(blocks: list[list[tuple[int, int]]]) -> list[int]:
+    """Which blocks, sorted by their later places, make the longest chain that rises in both; of chains of one length the one
+    that ends first.  By a tree of the best chains up to each place of the earlier document."""
+    rank = {k: r + 1 for r, k in enumerate(sorted(range(len(blocks)), key=lambda k: blocks[k][0][1]))}
+    best = [(0, 0, -1)] * (len(blocks) + 1)
+    back = []
+    for k, block in enumerate(blocks):
+        r, found = rank[k] - 1, (0, 0, -1)
+        while r:
+            found = max(found, best[r])
+            r -= r & -r
+        back.append(found[2])
+        mine, r = (found[0] + len(block), -block[-1][1], k), rank[k]
+        while r <= len(blocks):
+            best[r] = max(best[r], mine)
+            r += r & -r
+    out, r, found = [], len(blocks), (0, 0, -1)
+    while r:
+        found = max(found, best[r])
+        r -= r & -r
+    k = found[2]
+    while k >= 0:
+        out.append(k)
+        k = back[k]
     return out[::-1]
 
 
+def patience_chain(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of (later, earlier) places that rises in both; places come sorted by the first."""
+    blocks = blocks_of(places)
+    return [p for k in heaviest_chain(blocks) for p in blocks[k]]
+
+
 def align(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Chains that hold each of a pair's (later line, earlier line) once: rare lines' chains first, repeated lines last."""
+    """Chains that hold each of a pair's (later line, earlier line) once: rare lines' chains first, the longest of what is left
+    each time, repeated lines last.  What falls throughout is as many chains as blocks, and needs no search."""
     times = Counter(e for _, e in pairs)
     rare = sorted(p for p in pairs if times[p[1]] == 1)
     chains = []
     while rare:
-        chain = patience_chain(rare)
-        chains.append(chain)
-        taken = set(chain)
+        blocks = blocks_of(rare)
+        if all(a[0][1] > b[0][1] for a, b in zip(blocks, blocks[1:], strict=False)):
+            chains += sorted(blocks, key=lambda b: (-len(b), b[-1][1]))
+            break
+        chains.append(patience_chain(rare))
+        taken = set(chains[-1])
         rare = [p for p in rare if p not in taken]
-        if len(chains) == 8 and rare:  # what crosses so often is dealt by stretches that rise
-            for at, earlier in rare:
-                if chains[8:] and chains[-1][-1][0] + 1 == at and chains[-1][-1][1] < earlier:
-                    chains[-1].append((at, earlier))
-                else:
-                    chains.append([(at, earlier)])
-            rare = []
     return chains + [[p] for p in sorted(pairs) if times[p[1]] > 1]
 
 
@@ -213,13 +234,30 @@ def repeated_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.where(F.size("blocks") > 0)
 
 
+def partners_lines(met: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, body, source, source_body, at, place, hash, words, ats): the lines that each pair shares.
+
+    A line that fewer documents hold than its document has partners is taken to all its holders, of which the partners stay;
+    another one is taken to the partners, of which the holders stay.  So a line makes the lesser number of rows, and neither
+    a line that many hold nor a document with many partners multiplies with the other.
+    """
+    pair = ["doc_id", "body", "source", "source_body"]
+    partners = durable(pairs.groupBy("doc_id", "body").agg(F.count(F.lit(1)).alias("partners")), "partners")
+    counted = durable(met.join(partners, ["doc_id", "body"]), "counted-lines")
+    few = counted.where("holders <= partners").join(places, ["hash", "words"]).where("doc_id > source")
+    few = durable(few, "line-holders").join(pairs, pair, "left_semi")
+    many = durable(counted.where("holders > partners").join(pairs, ["doc_id", "body"]), "pair-lines").join(places, ["source", "source_body", "hash", "words"])
+    out = [*pair, "at", "place", "hash", "words", "ats"]
+    return few.select(*out).unionByName(many.select(*out))
+
+
 def aligned_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """What repeated_blocks() returns, of runs that one alignment with one earlier document holds."""
     ship_package(docs.sparkSession)
     lines = durable(line_table(docs, doc_id, text), "lines")
     kind = lines.schema["doc_id"].dataType.simpleString()
-    shared = lines.groupBy("hash", "words").agg(F.min(F.struct("doc_id", "body")).alias("first"), F.max("doc_id").alias("last"))
-    shared = shared.where(F.col("first.doc_id") < F.col("last")).select("hash", "words", F.col("first.doc_id").alias("source"), F.col("first.body").alias("source_body"))
+    shared = lines.groupBy("hash", "words").agg(F.min(F.struct("doc_id", "body")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("holders"))
+    shared = shared.where(F.col("first.doc_id") < F.col("last")).select("hash", "words", F.col("first.doc_id").alias("source"), F.col("first.body").alias("source_body"), "holders")
     shared = durable(shared, "shared-lines")  # a shuffle of its own, so that the join can split a hot line's rows
     met = durable(lines.join(shared, ["hash", "words"]), "met-lines")
     own = met.groupBy("doc_id", "body").agg(F.collect_set(F.struct("at", "hash", "words")).alias("lines"))
@@ -245,7 +283,7 @@ def aligned_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = durable(pairs.distinct(), "pairs")
     places = met.groupBy(F.col("doc_id").alias("source"), F.col("body").alias("source_body"), "hash", "words").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     places = durable(places, "places")
-    both = durable(pairs.join(met.drop("source", "source_body"), ["doc_id", "body"]), "pair-lines").join(places, ["source", "source_body", "hash", "words"])
+    both = partners_lines(met.drop("source", "source_body"), pairs, places)
     both = both.groupBy("doc_id", "body").agg(F.collect_set(F.struct("source", "source_body", "at", "place", "words", "hash", "ats")).alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
