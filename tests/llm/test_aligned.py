@@ -1,5 +1,8 @@
 """Line dedup where the alignment decides."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup
@@ -112,6 +115,80 @@ def test_what_crosses_often_keeps_its_passages():
     assert all(len(c) == 2 for c in chains) and sorted(p for c in chains for p in c) == pairs
 
 
+def plain_chains(pairs):
+    """Longest chain after longest chain, by trying every end; of equally long ones the one that ends first."""
+    left, out = sorted(pairs), []
+    while left:
+        best = {}
+        for n, p in enumerate(left):
+            longest = max((best[x] for x in left[:n] if x[1] < p[1]), key=lambda c: (len(c), -c[-1][1]), default=[])
+            best[p] = [*longest, p]
+        chain = max(best.values(), key=lambda c: (len(c), -c[-1][1]))
+        out.append(chain)
+        left = [p for p in left if p not in chain]
+    return out
+
+
+def moved_blocks(rng, blocks, most):
+    """Blocks of unequal lengths in another order, with gaps between some."""
+    sizes = [rng.randint(1, most) for _ in range(blocks)]
+    starts, at = [], 0
+    for size in sizes:
+        starts.append(at)
+        at += size + rng.randint(0, 1)
+    order = list(range(blocks))
+    rng.shuffle(order)
+    pairs, later = [], 0
+    for k in order:
+        pairs += [(later + i, starts[k] + i) for i in range(sizes[k])]
+        later += sizes[k] + rng.randint(0, 1)
+    return pairs
+
+
+def test_chains_to_the_end():
+    """Many more chains than eight, of blocks of unequal lengths, as longest chains one after another have them."""
+    rng = random.Random(2)
+    for blocks in [3, 12, 30] * 15:
+        pairs = moved_blocks(rng, blocks, 6)
+        assert line_dedup.align(pairs) == plain_chains(pairs)
+    assert len(plain_chains([(2 * k, 2 * (40 - k)) for k in range(40)])) == 40
+
+
+def test_many_crossing_lines_take_little_time():
+    began = time.process_time()
+    assert len(line_dedup.align([(2 * k, 2 * (20_000 - k)) for k in range(20_000)])) == 20_000
+    line_dedup.align(moved_blocks(random.Random(3), 1500, 4))
+    assert time.process_time() - began < 20
+
+
+def test_crossing_documents_by_brute_force(spark):
+    """Documents made of another's passages in another order, by more chains than eight."""
+    rng = random.Random(5)
+    words = lambda k: f"{'bcdfghjk'[k % 8]}{k} l{k * 7 % 83} m{k % 11} n{k}"
+    rows = []
+    for d in range(12):
+        lines = [words(100 * d + i) for i in range(50)]
+        rows.append((2 * d, "\n".join(lines)))
+        pairs = moved_blocks(rng, 14, 5)
+        placed = {at: lines[e] for at, e in pairs if e < 50}
+        rows.append((2 * d + 1, "\n".join(placed.get(i, f"own line {d} {i}") for i in range(max(placed) + 1))))
+    got = cleaned_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_aligned(rows) and sum(got[d] != t for d, t in rows) == 12
+
+
+def test_rows_grow_with_lines_and_not_with_partners_times_lines(spark, monkeypatch):
+    """A document of 300 lines that each stand in another document, and a line that all have."""
+    line = lambda k: f"line {k} of the long document has ten words in it"
+    rows = [(k, f"{line(k)}\nalone {k} in this one\ncommon line") for k in range(300)] + [(900, "\n".join(line(k) for k in range(300)) + "\ncommon line"), (901, "\n".join(line(k) for k in range(0, 300, 2)))]
+    written, real = {}, line_dedup.durable
+    monkeypatch.setattr(line_dedup, "durable", lambda df, label: written.setdefault(label, real(df, label)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = cleaned_texts(df)
+    assert got == brute_aligned(rows) and got[900] == got[901] == "" and got[7] == rows[7][1]
+    sizes = {k: v.count() for k, v in written.items()}
+    assert sizes["pairs"] > 450 and max(sizes.values()) < 4 * (300 * 3 + 451), sizes
+
+
 def test_aligned_odd_rows(spark):
     assert line_dedup.summary(empty(spark), aligned=True).count() == 0
     rows = line_dedup.summary(odd(spark), aligned=True).collect()
