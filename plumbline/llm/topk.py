@@ -22,9 +22,9 @@ from plumbline.llm.common import durable
 
 LEAF = 128
 SCALE = 1024
-#: Shards at most, as their centres are sent to every executor; with more rows shards grow.  Pivots at least, as small tables
-#: go the same way, and at most.
-MAX_SHARDS, LEAST_PIVOTS, MAX_PIVOTS = 65_536, 4, 1024
+#: Shards at most, and bytes of their centres at most, as these are sent to every executor; with more rows shards grow.
+#: Pivots at least, as small tables go the same way, and at most.
+MAX_SHARDS, CENTRE_BYTES, LEAST_PIVOTS, MAX_PIVOTS = 65_536, 64 << 20, 4, 1024
 #: How many times as many shards a query visits from one wave to the next.
 WIDER = 4
 
@@ -129,7 +129,7 @@ def _nearest(x: pd.Series, pivots: dict[int, np.ndarray]) -> pd.Series:
 def _tree(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     tree = BallTree(rows["vec_id"].to_numpy("int64"), np.stack(rows["x"].to_numpy()).astype("int64"))
     centre, radius = tree.nodes[0][:2]
-    return pd.DataFrame({"size": [key[0]], "pivot": [key[1]], "part": [key[2]], "centre": [centre.tolist()], "radius": [radius], "tree": [pickle.dumps(tree)]})
+    return pd.DataFrame({"size": [key[0]], "pivot": [key[1]], "part": [key[2]], "centre": [centre.astype("<f8").tobytes()], "radius": [radius], "tree": [pickle.dumps(tree)]})
 
 
 def _answers(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -146,12 +146,13 @@ def shard_trees(base: DataFrame, shard_rows: int) -> DataFrame:
     """(shard, size, centre, radius, tree): a tree of each shard of base (vec_id, x), written to the shared folder."""
     spark = base.sparkSession
     counts = {r["size"]: r["count"] for r in base.groupBy(F.size("x").alias("size")).count().collect()}  # a row for each length of vectors
-    shard_rows = max(shard_rows, 2 * -(-sum(counts.values()) // MAX_SHARDS))
+    most = max(1, min(MAX_SHARDS, CENTRE_BYTES // (8 * max(counts, default=1))))
+    shard_rows = max(shard_rows, 2 * -(-sum(counts.values()) // most))
     wanted = {size: max(LEAST_PIVOTS, min(n // shard_rows, MAX_PIVOTS)) for size, n in counts.items()}
-    order = Window.partitionBy("size").orderBy(F.xxhash64("vec_id"), "vec_id", "x")
-    first = base.select("vec_id", "x", F.size("x").alias("size")).withColumn("at", F.row_number().over(order)).where(f"at <= {MAX_PIVOTS}").where(
-        F.col("at") <= F.create_map(*[F.lit(v) for pair in wanted.items() for v in pair])[F.col("size")] if wanted else F.lit(False)
-    )
+    # one vector of each bucket of ids, by hash order: each task keeps one of each, and no task gets all
+    room = F.create_map(*[F.lit(v) for pair in wanted.items() for v in pair])[F.size("x")] if wanted else F.lit(1)
+    drawn = base.select(F.size("x").alias("size"), F.pmod(F.xxhash64("vec_id"), room).alias("bucket"), F.struct(F.xxhash64(F.col("vec_id") + 1).alias("at"), "vec_id", "x").alias("its"))
+    first = drawn.groupBy("size", "bucket").agg(F.min("its").alias("its")).select("size", "its.x", "its.vec_id").orderBy("size", "vec_id")
     pivots: dict[int, list] = {}
     for r in first.select("size", "x").collect():
         pivots.setdefault(r["size"], []).append(r["x"])
@@ -161,7 +162,7 @@ def shard_trees(base: DataFrame, shard_rows: int) -> DataFrame:
     # a pivot with many vectors, equal ones perhaps, has several shards
     parts = placed.groupBy("size", "pivot").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("parts"))
     dealt = placed.join(F.broadcast(parts), ["size", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    trees = dealt.groupBy("size", "pivot", "part").applyInPandas(_tree, "size int, pivot long, part long, centre array<double>, radius double, tree binary")
+    trees = dealt.groupBy("size", "pivot", "part").applyInPandas(_tree, "size int, pivot long, part long, centre binary, radius double, tree binary")
     return durable(trees.withColumn("shard", F.xxhash64("size", "pivot", "part")), "trees")
 
 
@@ -170,20 +171,22 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, shard_rows: in
 
     Fewer than k if there are fewer; ties go to the smaller vec_id.  Vectors that are null, empty, or hold null or
     non-finite components take no part; vectors of another length than the query's aren't scored.  Rows that repeat a
-    vec_id and vector are one.  A shard holds about shard_rows candidates (more beyond MAX_SHARDS / 2 shards) and meets
+    vec_id and vector are candidates each, and as queries one.  A shard holds about shard_rows candidates (more beyond half of MAX_SHARDS, or of CENTRE_BYTES) and meets
     query_rows queries at a time.  Scores have to fit a long.  Other columns are ignored, so their names can't clash.
     Empty tables give an empty result.
     """
     spark = embeddings.sparkSession
     ship_package(spark)
-    base = durable(integer_vectors(embeddings, vec_id, vector).dropDuplicates(["vec_id", "x"]), "vectors")
+    repeated = integer_vectors(embeddings, vec_id, vector).groupBy("vec_id", "x").agg(F.count(F.lit(1)).alias("n"))
+    copies = F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")))  # more than k copies of a row can't be among k
+    base = durable(repeated.select("vec_id", "x", copies.alias("_copy")).drop("_copy"), "vectors")
     asked = durable(integer_vectors(queries, vec_id, vector).dropDuplicates(["vec_id", "x"]), "queries")
     trees = shard_trees(base, shard_rows)
     balls = trees.select("shard", "size", "centre", "radius").orderBy("shard").collect()  # MAX_SHARDS at most
     table = {}
     for size in {b["size"] for b in balls}:
         mine = [b for b in balls if b["size"] == size]
-        table[size] = np.array([b["shard"] for b in mine]), np.array([b["centre"] for b in mine]), np.array([b["radius"] for b in mine])
+        table[size] = np.array([b["shard"] for b in mine]), np.stack([np.frombuffer(b["centre"], "<f8") for b in mine]), np.array([b["radius"] for b in mine])
     shared = spark.sparkContext.broadcast(table)
 
     def visits(low: int, high: int):
