@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -104,14 +105,11 @@ def test_components_of_a_path_and_a_star(spark):
 
 
 def brute_topk(rows, k, every):
-    vectors = {}
-    for i, x in rows:
-        if i is not None and x and all(v is not None and np.isfinite(v) for v in x):
-            vectors[i] = [int(np.floor(v * 1024)) for v in x]
+    vectors = [(i, [int(np.floor(v * 1024)) for v in x]) for i, x in rows if i is not None and x and all(v is not None and np.isfinite(v) for v in x)]
     out = []
-    for q, x in vectors.items():
+    for q, x in dict(vectors).items():  # repeated queries are one, repeated candidates aren't
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in vectors.items() if i != q and len(y) == len(x))
+            scores = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in vectors if i != q and len(y) == len(x))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -126,6 +124,23 @@ def test_topk_by_brute_force(spark, shard, block, large):
     assert sorted(tuple(r) for r in got) == brute_topk(rows, 7, 10)
 
 
+@pytest.mark.parametrize("limit", [None, 3000])
+def test_repeated_candidates_by_the_sql(spark, monkeypatch, limit):
+    """Rows that repeat vec_id and vector are candidates each, many of them too; centres keep to their bytes."""
+    if limit:
+        monkeypatch.setattr(topk, "CENTRE_BYTES", limit)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).round(2).tolist()) for i in range(250)]
+    rows += [rows[7]] * 3 + [rows[31]] * 40 + [(31, [0.5, 0.25, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    want = sorted(con.execute(topk.ORACLE).fetchall())
+    assert sorted(tuple(r) for r in topk.top_k(df.repartition(3), df.where("vec_id % 100 = 0"), shard_rows=20).collect()) == want
+    balls = topk.shard_trees(df.withColumn("x", F.transform("embedding", lambda v: F.floor(v * 1024))).select("vec_id", "x"), 20).count()
+    assert balls <= (limit // 32 if limit else 40)
+
+
 def test_topk_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 2 * 1024 * 1024)]
