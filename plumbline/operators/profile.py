@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.quantiles import quantiles
 from plumbline.functions.values import col, is_missing, long_form, number, numeric_columns, string_columns
+from plumbline.functions.gauss import cell_moments, densities
 from plumbline.operators.features import Params, fit_bounds, outlier_counts
+from plumbline.operators.pairwise import correlations
 from plumbline.operators.quality import duplicate_stats, missing_rates, moments
 from plumbline.operators.roles import phi_candidates
 
 KDE_POINTS = 200
 
 
+def _nothing(df: DataFrame, schema: str) -> DataFrame:
+    """What a profile of no columns gives."""
+    return df.sparkSession.createDataFrame([], schema)
+
+
 def _quartiles(df: DataFrame, names: list[str], exact: bool) -> dict[str, list[float] | None]:
     return quantiles(df, {c: number(df, c) for c in names}, [0.25, 0.5, 0.75], exact)
 
@@ -23,12 +30,14 @@ def _quartiles(df: DataFrame, names: list[str], exact: bool) -> dict[str, list[f
 def describe_numbers(df: DataFrame, but: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max, missing_pct), quartiles exact and interpolated, or approximate."""
     parts = {}
+    if not numeric_columns(df, but):
+        return _nothing(df, "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double, missing_pct double")
     for c, found in _quartiles(df, numeric_columns(df, but), exact).items():
         v = number(df, c)
         q = [F.max(F.lit(x).cast("double")) for x in found or [None] * 3]
         parts[c] = {
             "count": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "q25": q[0], "q50": q[1], "q75": q[2], "max": F.max(v),
-            "missing_pct": F.round(F.count_if(is_missing(df, c)) * 100.0 / F.count(F.lit(1)), 2),
+            "missing_pct": F.when(F.count(F.lit(1)) > 0, F.round(F.count_if(is_missing(df, c)) * 100.0 / F.greatest(F.count(F.lit(1)), F.lit(1)), 2)),
         }
     return long_form(df, parts)
 
@@ -46,6 +55,8 @@ def _named(names: list[str]) -> Column:
 def describe_strings(df: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
     """(column, count, unique, top, freq): ties for top go to the smallest."""
     names = string_columns(df, but)
+    if not names:
+        return _nothing(df, "column string, count long, unique long, top string, freq long")
     best = F.min_by("v", F.struct((-F.col("n")).alias("n"), "v"))
     return _value_table(df, names).groupBy("i").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), best.alias("top"), F.max("n").alias("freq")).select(_named(names), "count", "unique", "top", "freq")
 
@@ -74,6 +85,9 @@ def histogram(df: DataFrame, bins: int = 25, but: tuple[str, ...] = (), most_col
     """(column, bin, low, width, count, density): equal-width bins over the range, the last closed on the right; empty bins
     give no row.  A constant column has one bin of width 1 around it."""
     names = numeric_columns(df, but)[:most_columns]
+    none = "column string, bin int, low double, width double, count long, density double"
+    if not names:
+        return _nothing(df, none)
     spans = df.agg(*[f(number(df, c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max))]).first()
     cells = []
     for i, c in enumerate(names):
@@ -85,6 +99,8 @@ def histogram(df: DataFrame, bins: int = 25, but: tuple[str, ...] = (), most_col
         width = (hi - lo) / bins
         at = F.least(F.floor((number(df, c) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
         cells.append(F.struct(F.lit(c).alias("column"), at.alias("bin"), F.lit(float(lo)).alias("first"), F.lit(float(width)).alias("width")))
+    if not cells:
+        return _nothing(df, none)
     rows = df.select(F.explode(F.array(*cells)).alias("x")).where("x.bin is not null").groupBy("x.column", "x.bin", "x.first", "x.width").agg(F.count(F.lit(1)).alias("count"))
     totals = rows.groupBy("column").agg(F.sum("count").alias("total"))
     return rows.join(F.broadcast(totals), "column").select(
@@ -95,6 +111,8 @@ def histogram(df: DataFrame, bins: int = 25, but: tuple[str, ...] = (), most_col
 def location_stats(df: DataFrame, but: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
     """(column, n, mean, median, skewness)."""
     names = numeric_columns(df, but)
+    if not names:
+        return _nothing(df, "column string, n long, mean double, median double, skewness double")
     found = quantiles(df, {c: number(df, c) for c in names}, [0.5], exact)
     parts = {}
     for c in names:
@@ -106,9 +124,11 @@ def location_stats(df: DataFrame, but: tuple[str, ...] = (), exact: bool = True)
 def kde_curve(df: DataFrame, column: str, points: int = KDE_POINTS, bins: int | None = None) -> DataFrame:
     """(point, x, density): Gaussian kernels at evenly spaced points, bandwidth n ** (-1/5) * std.
 
-    Equal values are counted first, and each is a kernel, however many differ.  With `bins` the values go to so many bins
-    of the range first, and each bin is a kernel at its middle: a value moves by half a bin at most, and the kernel is
-    nowhere steeper than 0.61 of its peak a bandwidth, so a density is off by 0.31 * bin / bandwidth of the peak at most.
+    Values go to cells of half a bandwidth with their moments about its middle, by one aggregate; a point meets the cells
+    within eight bandwidths (functions/gauss.py), with an error below 1e-10 of a kernel's peak, however many values differ.
+    With `bins` the values go to so many bins of the range, and each bin is a kernel at its middle: a value moves by half a
+    bin at most, and the kernel is nowhere steeper than 0.61 of its peak a bandwidth, so a density is off by 0.31 * bin /
+    bandwidth of the peak at most.
     """
     v = number(df, column)
     s = df.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
@@ -118,17 +138,14 @@ def kde_curve(df: DataFrame, column: str, points: int = KDE_POINTS, bins: int |
     if bins:
         step = (s["hi"] - s["lo"]) / bins
         v = F.lit(s["lo"]) + (F.least(F.floor((v - F.lit(s["lo"])) / F.lit(step)), F.lit(bins - 1)) + 0.5) * F.lit(step)
-    counts = df.where(~is_missing(df, column)).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    xs = [s["lo"] + i * (s["hi"] - s["lo"]) / (points - 1) for i in range(points)]
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), F.lit(float(x)).alias("x")) for i, x in enumerate(xs)]))
-    z = (F.col("g.x") - F.col("v")) / F.lit(width)
-    kernel = counts.select("v", "c", grid.alias("g")).select("g.point", "g.x", (F.col("c") * F.exp(-z * z / 2)).alias("k"))
-    return kernel.groupBy("point", "x").agg((F.sum("k") / F.lit(s["n"] * width * math.sqrt(2 * math.pi))).alias("density"))
+    return densities(cell_moments(df.select(v.alias("v")), "v", s["lo"], width), s["lo"], s["hi"], width, s["n"], points)
 
 
 def value_counts(df: DataFrame, most_distinct: int = 20, but: tuple[str, ...] = ()) -> DataFrame:
     """(column, value, count) of string columns with up to most_distinct values."""
     names = string_columns(df, but)
+    if not names:
+        return _nothing(df, "column string, value string, count long")
     counts = _value_table(df, names)
     few = counts.groupBy("i").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") <= most_distinct).select("i")
     return counts.join(F.broadcast(few), "i").select(_named(names), F.col("v").alias("value"), F.col("n").alias("count"))
@@ -143,22 +160,22 @@ def cardinality_mode(df: DataFrame, most_distinct: int = 20, but: tuple[str, ...
 def correlation_matrix(df: DataFrame, but: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
     """(col_a, col_b, r) of every pair of numeric columns, over rows in which both are present; one pass."""
     names = numeric_columns(df, but)
-    pairs = {f"{i}|{j}": (a, b) for i, a in enumerate(names) for j, b in enumerate(names) if i < j}
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    r = long_form(df, {k: {"r": F.corr(number(df, a), number(df, b))} for k, (a, b) in pairs.items()}, "pair")
-    r = r.select(F.split("pair", r"\|").cast("array<int>").alias("p"), "r")
+    if len(names) < 2:
+        return _nothing(df, "col_a string, col_b string, r double")
+    found = correlations(df, {c: number(df, c) for c in names})
     name = F.array(*[F.lit(c) for c in names])
-    one = r.select(F.element_at(name, F.col("p")[0] + 1).alias("col_a"), F.element_at(name, F.col("p")[1] + 1).alias("col_b"), "r")
-    both = one.select(F.explode(F.array(F.struct("col_a", "col_b", "r"), F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), F.col("r")))).alias("x")).select("x.*")
-    self_ = long_form(df, {c: {"n": F.count(number(df, c))} for c in names}).where("n > 1").select(F.col("column").alias("col_a"), F.col("column").alias("col_b"), F.lit(1.0).alias("r"))
-    out = both.unionByName(self_)
+    a, b = F.element_at(name, F.col("a") + 1), F.element_at(name, F.col("b") + 1)
+    each = found.where("a < b or n > 1").select(a.alias("a"), b.alias("b"), F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.col("r")).alias("r"))
+    turned = F.array(F.struct(F.col("a").alias("col_a"), F.col("b").alias("col_b"), "r"), F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("col_a"), F.col("a").alias("col_b"), "r")))
+    out = each.select(F.explode(F.array_compact(turned)).alias("x")).select("x.*")
     return out if digits is None else out.withColumn("r", F.round("r", digits))
 
 
 def strong_pairs(df: DataFrame, least: float = 0.5, but: tuple[str, ...] = ()) -> DataFrame:
     """(col_a, col_b, r, strong) of pairs with |r| above least, each once, strongest first; strong: above 0.8."""
     names = numeric_columns(df, but)
+    if len(names) < 2:
+        return _nothing(df, "col_a string, col_b string, r double, strong boolean")
     place = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (c, i)])
     rows = correlation_matrix(df, but).where((place[F.col("col_a")] < place[F.col("col_b")]) & (F.abs("r") > least))
     return rows.select("col_a", "col_b", F.round("r", 3).alias("r"), (F.abs("r") > 0.8).alias("strong")).orderBy(F.abs("r").desc(), "col_a", "col_b")
@@ -182,7 +199,7 @@ def boxplot_stats(df: DataFrame, but: tuple[str, ...] = (), exact: bool = True)
         v = number(df, c)
         inside = F.when(v.between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)), v)
         parts[c] = {"q1": F.max(F.lit(q1)), "median": F.max(F.lit(q2)), "q3": F.max(F.lit(q3)), "whisker_low": F.min(inside), "whisker_high": F.max(inside)}
-    return long_form(df, parts)
+    return long_form(df, parts) if parts else _nothing(df, "column string, q1 double, median double, q3 double, whisker_low double, whisker_high double")
 
 
 def recommendations(df: DataFrame) -> DataFrame:

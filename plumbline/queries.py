@@ -737,6 +737,15 @@ def kde_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.kde_curve(read(spark, sf_dir, "lineitem"), "l_quantity"))
 
 
+@query("""WITH s AS (SELECT count(*) AS n, stddev_samp(l_extendedprice) * power(count(*), -0.2) AS h, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+  g AS (SELECT i AS point, lo + i * (hi - lo) / 199 AS x FROM s, range(200) t(i)), c AS (SELECT l_extendedprice AS v, count(*) AS c FROM lineitem GROUP BY 1)
+  SELECT point::INT AS point, round(x, 4) AS x, round(1e9 * sum(c * exp(-(((x - v) / h) * ((x - v) / h)) / 2)) / any_value(n * h * sqrt(2 * pi())), 4) AS density FROM g, c, s GROUP BY point, x""")
+def kde_curve_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density, in parts of 1e9, of a column of which nearly all values differ."""
+    out = profile.kde_curve(read(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return out.select("point", F.round("x", 4).alias("x"), F.round(F.col("density") * 1e9, 4).alias("density"))
+
+
 @query(f"{P}, v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column, {c} AS value, count(*) AS count FROM patients WHERE {c} IS NOT NULL GROUP BY {c}" for c in _TEXTS) + ") SELECT * FROM v WHERE column IN (SELECT column FROM v GROUP BY column HAVING count(*) <= 20)")
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.value_counts(patients(spark, sf_dir))
@@ -760,6 +769,17 @@ def strong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.strong_pairs(read(spark, sf_dir, "lineitem").select(*_ITEMS))
 
 
+_LINKED = "l_quantity::DOUBLE AS a, l_extendedprice AS b, l_extendedprice * (1 - l_discount) AS net, l_quantity * l_quantity AS sq, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE -l_quantity + l_tax * 100 END AS minus"
+_LINKS = [(a, b) for i, a in enumerate(("a", "b", "net", "sq", "minus")) for b in ("a", "b", "net", "sq", "minus")[i + 1 :]]
+
+
+@query(f"WITH t AS (SELECT {_LINKED} FROM lineitem) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 3) AS r, abs(corr({a}, {b})) > 0.8 AS strong FROM t HAVING abs(corr({a}, {b})) > 0.5" for a, b in _LINKS) + ")")
+def strong_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong pairs among columns of which some follow from others, one with missing values."""
+    df = spark.sql("SELECT " + _LINKED.replace("l_quantity::DOUBLE", "CAST(l_quantity AS DOUBLE)") + " FROM {t}", t=read(spark, sf_dir, "lineitem"))
+    return profile.strong_pairs(df)
+
+
 @query(f"WITH {_BOUNDS} SELECT *, CASE WHEN outlier_pct > 5 THEN 'bad' WHEN outlier_pct > 1 THEN 'warn' ELSE 'ok' END AS level FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column, round(any_value(lo), 6) AS low, round(any_value(hi), 6) AS high, count(*) FILTER ({c} < lo OR {c} > hi) AS outliers, count({c}) AS values, round(count(*) FILTER ({c} < lo OR {c} > hi) * 100.0 / count({c}), 6)::DOUBLE AS outlier_pct FROM lineitem, {c}_b" for c in _ITEMS) + ")")
 def outlier_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.outlier_report(read(spark, sf_dir, "lineitem").select(*_ITEMS), factor=0.5))
