@@ -489,8 +489,8 @@ def date_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WRITTEN = "CASE o_orderkey % 10 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN 'soon' WHEN 2 THEN NULL ELSE strftime(o_orderdate, '%d/%m/%Y') END"
 
 
-@query(f"""WITH t AS (SELECT o_orderkey, {_WRITTEN} AS visit_date FROM orders), d AS (SELECT o_orderkey, try_strptime(visit_date, '%d/%m/%Y') AS at FROM t)
-  SELECT o_orderkey, strftime(at, '%Y-%m-%d') AS visit_date, year(at)::INT AS visit_date_year, month(at)::INT AS visit_date_month, (isodow(at) - 1)::INT AS visit_date_dayofweek FROM d""")
+@query(f"""WITH t AS (SELECT o_orderkey, {_WRITTEN} AS visit_date FROM orders), d AS (SELECT o_orderkey, try_strptime(visit_date, '%d/%m/%Y') AS day FROM t)
+  SELECT o_orderkey, strftime(day, '%Y-%m-%d') AS visit_date, year(day)::INT AS visit_date_year, month(day)::INT AS visit_date_month, (isodow(day) - 1)::INT AS visit_date_dayofweek FROM d""")
 def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates written day first, a few of them in another way, which are missing."""
     day = F.expr("CASE o_orderkey % 10 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN 'soon' WHEN 2 THEN NULL ELSE date_format(o_orderdate, 'dd/MM/yyyy') END")
