@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.dates import ISO, formats, moment
+from plumbline.functions.members import may_be_among
+from plumbline.functions.shared import written
 from plumbline.functions.values import col, is_missing, long_form, long_forms, number, number_like_columns, numeric_columns, quoted
+from plumbline.sources.digests import row_digests
 
 # The range of plausible values by a word in the column's name; words of columns that can't be negative;
 # pairs of columns of which the first can't be before the second.
@@ -71,10 +75,19 @@ def check_missing(df: DataFrame, threshold: float = 0.15, counted: DataFrame | N
     return _result(row, "missing_values", status, message, F.col("top"), threshold, F.when(clean, F.col("every")).otherwise(F.col("violating")))
 
 
-def duplicate_stats(df: DataFrame) -> DataFrame:
-    """(rows, duplicates, duplicate_pct): rows beyond the first of each group of equal rows; missing equals missing."""
-    groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    counted = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
+def duplicate_stats(df: DataFrame, digest: Callable[[DataFrame], Column] = lambda df: row_digests(df)[0]) -> DataFrame:
+    """(rows, duplicates, duplicate_pct): rows beyond the first of each group of equal rows; missing equals missing.
+
+    Digests are counted first, which shuffles a few bytes a row; whole rows shuffle only if a bitmap says that their digest
+    may repeat, and they alone decide, so digests that collide change nothing.
+    """
+    cells = df.select(digest(df).alias("key"), *[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])  # names that can't clash
+    repeated = written(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
+    beyond = 0
+    if not repeated.isEmpty():
+        groups = may_be_among(cells, F.col("key"), repeated).groupBy(*cells.columns[1:]).agg(F.count(F.lit(1)).alias("n"))
+        beyond = groups.agg(F.sum(F.col("n") - 1).alias("n")).first()["n"] or 0
+    counted = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("duplicates", F.lit(beyond).cast("long"))
     return counted.withColumn("duplicate_pct", F.when(F.col("rows") > 0, F.col("duplicates") * 100.0 / F.col("rows")).otherwise(F.lit(0.0)).cast("double"))
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import argparse
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.operators import features, kanon, quality
 from plumbline.operators.features import FeatureConfig, fit_transform, save_params
 from plumbline.operators.kanon import AnonymizeConfig, anonymization_report, anonymize
 from plumbline.operators.quality import QualityConfig, gate, verify
+from plumbline.plans.stages import FAILED, Stage, run_stage, run_stages
 from plumbline.sources.tables import read_delimited, read_table_csv, write_csv_quoted, write_report_json
 from plumbline.sources.versions import write_version
 
@@ -77,15 +79,58 @@ def run_pipeline(df: DataFrame, config: JobConfig = JobConfig()) -> JobResult:
     return result
 
 
+def job_stages(path: str, config: JobConfig) -> list[Stage]:
+    """The stages of a run from the file or folder at path to config.output, each reading what one before it wrote."""
+    out = config.output
+
+    def collect(df: DataFrame) -> bool:
+        if df.isEmpty():
+            return False
+        write_csv_quoted(df, f"{out}/raw.csv")
+        return True
+
+    def hide(df: DataFrame) -> bool:
+        anonymize(df, config.anonymize).write.mode("overwrite").parquet(f"{out}/anonymized")
+        kept = df.sparkSession.read.parquet(f"{out}/anonymized")
+        write_report_json(anonymization_report(df, kept, config.anonymize), f"{out}/reports/anonymization")
+        return True
+
+    def check(df: DataFrame) -> bool:
+        results = verify(df, config.quality).persist(StorageLevel.MEMORY_AND_DISK)
+        write_report_json(results, f"{out}/reports/quality")
+        return gate(results).first()["gate_passed"]
+
+    def prepare(df: DataFrame) -> bool:
+        table, params = fit_transform(df, config.features)
+        table.write.mode("overwrite").parquet(f"{out}/transformed")
+        save_params(df.sparkSession, params, f"{out}/params")
+        return True
+
+    hidden = f"{out}/anonymized"
+    return [
+        Stage("collect", path, (f"{out}/raw.csv",), collect),
+        Stage("anonymize", f"{out}/raw.csv", (hidden, f"{out}/reports/anonymization"), hide, asdict(config.anonymize), (kanon,)),
+        Stage("verify", hidden, (f"{out}/reports/quality",), check, asdict(config.quality), (quality,)),
+        Stage("transform", hidden, (f"{out}/transformed", f"{out}/params"), prepare, asdict(config.features), (features,)),
+    ]
+
+
+def reproduce(spark: SparkSession, path: str, config: JobConfig, force: bool = False) -> dict[str, str]:
+    """Bring config.output up to date: each stage's outcome, of which only those run whose input, parameters, code or outputs
+    changed.  A gate that rejects the table ends the run."""
+    return run_stages(spark, f"{config.output}/stages", job_stages(path, config), source, force)
+
+
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description="Anonymize, check and prepare a table.")
-    p.add_argument("--stage", choices=["all", "collect", "anonymize", "verify", "transform"], default="all")
+    p.add_argument("--stage", choices=["all", "changed", "collect", "anonymize", "verify", "transform"], default="all", help="changed: of all stages those whose input, parameters or outputs changed")
     p.add_argument("--path", required=True, help="a .csv, .txt or .data file, or the folder of the stage before")
     p.add_argument("--output", required=True)
     p.add_argument("--k", type=int, default=3)
     p.add_argument("--strategy", choices=["drop", "hash", "replace"], default="replace")
     p.add_argument("--key", help="for --strategy hash")
     p.add_argument("--row-id", help="for --strategy replace")
+    p.add_argument("--force", action="store_true", help="run stages though nothing changed")
     p.add_argument("--version")
     p.add_argument("--missing-threshold", type=float, default=0.15)
     return p.parse_args(argv)
@@ -103,26 +148,14 @@ def main(argv: list[str] | None = None) -> int:
     """Exit code 0, or 1 if the gate rejects the table or the run fails."""
     a = arguments(argv)
     spark = SparkSession.builder.appName("plumbline").getOrCreate()
-    df = source(spark, a.path)
     skip = (a.row_id,) if a.row_id else ()
     config = JobConfig(AnonymizeConfig(a.k, a.strategy, a.key, a.row_id), QualityConfig(a.missing_threshold, row_id=a.row_id), FeatureConfig(skip=skip), a.output, a.version)
     if a.stage == "all":
-        return int(not run_pipeline(df, config).success)
-    if a.stage == "collect":
-        if df.isEmpty():
-            return 1
-        write_csv_quoted(df, f"{a.output}/raw.csv")
-    elif a.stage == "anonymize":
-        anonymize(df, config.anonymize).write.mode("overwrite").parquet(f"{a.output}/anonymized")
-    elif a.stage == "verify":
-        results = verify(df, config.quality).persist(StorageLevel.MEMORY_AND_DISK)
-        write_report_json(results, f"{a.output}/reports/quality")
-        return int(not gate(results).first()["gate_passed"])
-    else:
-        table, params = fit_transform(df, config.features)
-        table.write.mode("overwrite").parquet(f"{a.output}/transformed")
-        save_params(spark, params, f"{a.output}/params")
-    return 0
+        return int(not run_pipeline(source(spark, a.path), config).success)
+    if a.stage == "changed":
+        return int(FAILED in reproduce(spark, a.path, config, a.force).values())
+    one = next(s for s in job_stages(a.path, config) if s.name == a.stage)
+    return int(run_stage(spark, f"{a.output}/stages", replace(one, path=a.path), source, a.force) == FAILED)
 
 
 if __name__ == "__main__":
