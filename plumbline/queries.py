@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.shared import fresh_path
 from plumbline.operators import features, identifiers, kanon, profile, quality, roles
-from plumbline.plans.jobs import JobConfig, run_pipeline
+from plumbline.plans.jobs import JobConfig, reproduce, run_pipeline
 from plumbline.sources import pages, tables, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -918,3 +919,17 @@ def run_job(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise RuntimeError(done.error)
     rows = versions.read_version(spark, f"{out}/versions", done.version_tag)
     return rows.agg(F.count(F.lit(1)).alias("rows")).withColumns({"steps": F.lit(",".join(done.steps_completed)), "success": F.lit(done.success), "gate_passed": F.lit(done.gate_passed), "version": F.lit(done.version_tag)})
+
+
+@query(f"""{P}{_binned('age')}{_kept(K)}, runs AS (SELECT * FROM (VALUES (1), (2), (3)) AS v(run)), stages AS (SELECT * FROM (VALUES ('collect'), ('anonymize'), ('verify'), ('transform')) AS v(stage))
+  SELECT CAST(run AS INT) AS run, stage, CASE WHEN run = 1 OR run = 3 AND stage = 'verify' THEN 'ran' ELSE 'skipped' END AS outcome, (SELECT count(*) FROM kept) AS rows FROM runs CROSS JOIN stages""")
+def stage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages from a Parquet table on: all run, then none, then with another threshold the checks alone; and the rows of
+    the transformed table."""
+    out = fresh_path(spark, "stages")
+    patients(spark, sf_dir).write.parquet(f"{out}/patients")
+    config = JobConfig(kanon.AnonymizeConfig(k=K, strategy="hash", key=KEY), quality.QualityConfig(missing_threshold=0.2, row_id="row_id"), features.FeatureConfig(skip=SKIP), out)
+    other = replace(config, quality=quality.QualityConfig(missing_threshold=0.21, row_id="row_id"))
+    found = [(i, *x) for i, how in enumerate((config, config, other), 1) for x in reproduce(spark, f"{out}/patients", how).items()]
+    rows = spark.read.parquet(f"{out}/transformed").count()
+    return spark.createDataFrame(found, "run int, stage string, outcome string").withColumn("rows", F.lit(rows).cast("long"))
