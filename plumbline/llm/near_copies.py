@@ -1,13 +1,19 @@
 """Near copies by five-word shingles: rows whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-A 64-bit fingerprint differs in about 10 bits at that similarity, too far for balls around it.  So several part
-fingerprints are taken: BANDS groups of ROWS minimum hashes each.  Sets of similarity 0.8 agree in one of them with a
-probability of 0.9996, and what agrees is verified by the shingle sets themselves.  Equal sets are one node from the start.
+SimHash with meet-in-the-middle ball hashing, on part fingerprints.  A plain 64-bit SimHash differs in about 10 bits at that
+similarity, too far for balls around it.  So several are taken, each of a few pieces: in a piece, a few shingles that their
+hashes draw carry most of the weight.  Fingerprints within RADIUS bits in one part meet, as all variants within half that
+radius are emitted; and what meets is verified by the shingle sets themselves.  Sets of similarity 0.8 meet under one of the
+parts of WIDE with a probability of 0.999 or more.  Variants that many nodes share are left to the parts of DEEP, of more
+pieces, under which sets of less similarity seldom meet; what is crowded there too is settled through hubs.  Equal sets are
+one node from the start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +27,45 @@ from plumbline.llm.components import components, one_of_each
 
 #: Two sets are near if 5 times what they share is at least 4 times what either has.
 SHARED, OF = 4, 5
-WORDS, BANDS, ROWS = 5, 20, 5
-#: Up to so many nodes under a part fingerprint are all compared with each other.
+WORDS = 5
+#: Fingerprints within so many bits meet, as each emits all variants within half as many.
+RADIUS = 2
+#: Up to so many nodes under a variant are all compared with each other.
 ALL_PAIRS = 16
-_DRAWN = np.random.default_rng(20).integers(0, 2**64, (2, BANDS * ROWS), dtype="u8")
+#: Variants in a bucket, about, and in a task that emits them.
+BUCKET_ROWS, MADE_ROWS = 250_000, 1_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 4096
 
 
+class Scheme(NamedTuple):
+    """Part fingerprints: how many, of how many pieces, and the bits of a piece that are made, and used at the least."""
+
+    seed: int
+    parts: int
+    pieces: int
+    bits: int
+    least: int
+
+    @cache
+    def drawn(self) -> np.ndarray:
+        return np.random.default_rng(self.seed).integers(0, 2**64, (4, self.parts * self.pieces, 1), dtype="u8")
+
+    def width(self, nodes: int) -> int:
+        """Bits of a part that are used: with so many nodes, one of 32 has a chance neighbour under a part."""
+        tried = (self.pieces * b for b in range(self.least, self.bits))
+        return next((w for w in tried if 32 * nodes * (1 + w + w * (w - 1) // 2) <= 1 << w), self.pieces * self.bits)
+
+    def used(self, prints: np.ndarray, width: int) -> np.ndarray:
+        b, out = width // self.pieces, np.zeros_like(prints)
+        for i in range(self.pieces):
+            out |= ((prints >> np.uint64(i * self.bits)) & np.uint64((1 << b) - 1)) << np.uint64(i * b)
+        return out
+
+
+WIDE, DEEP = Scheme(20, 9, 2, 24, 16), Scheme(21, 28, 13, 4, 3)
+
+
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted; all of its words are one if it has fewer; none without words."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
@@ -36,47 +74,126 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.sort(np.fromiter(found, "u8", len(found)))
 
 
-def part_fingerprints(grams: np.ndarray) -> list[int]:
+def part_fingerprints(grams: np.ndarray, scheme: Scheme = WIDE) -> list[int]:
+    """A SimHash for each part, its pieces above each other: a bit is 1 if it is set in over half of the shingles' weight.
+
+    In each piece, a shingle's weight is the third power of the inverse of an exponential variate that its hash deals."""
     if not len(grams):
         return []
-    least = np.full(BANDS * ROWS, 2**64 - 1, "u8")
+    drawn, n = scheme.drawn(), scheme.parts * scheme.pieces
+    ones, whole = np.zeros((n, scheme.bits)), np.zeros(n)
     for at in range(0, len(grams), _SLICE):
-        least = np.minimum(least, ((grams[at : at + _SLICE, None] ^ _DRAWN[0]) * (_DRAWN[1] | np.uint64(1))).min(0))
-    return [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) - 2**63 for b in range(BANDS)]
-
-
-def pairs_of(key: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What to compare first among the distinct, sorted nodes under one part fingerprint: all pairs of a few, else each with
-    the least and, for a quarter of the fingerprints, with the next in an order that the fingerprint deals.  What this
-    leaves in several components is compared through hubs."""
+        some = grams[at : at + _SLICE]
+        dealt = ((some ^ drawn[0]) * (drawn[1] | np.uint64(1))) >> np.uint64(11)
+        far = -np.log((dealt + 0.5) / 2**53)
+        weight = 1 / (far * far * far)
+        hashes = ((some ^ drawn[2]) * (drawn[3] | np.uint64(1))).astype(">u8")
+        bits = np.unpackbits(hashes.view("u1").reshape(*weight.shape, 8)[:, :, : -(-scheme.bits // 8)], axis=2)[:, :, : scheme.bits]
+        ones += np.matmul(weight[:, None, :], bits.astype("f8"))[:, 0]
+        whole += weight.sum(1)
+    pieces = ((2 * ones > whole[:, None]) @ (1 << np.arange(scheme.bits))).reshape(scheme.parts, scheme.pieces)
+    return [int(x) for x in (pieces << scheme.bits * np.arange(scheme.pieces)).sum(1)]
+
+
+def ball(width: int) -> np.ndarray:
+    """What turns a fingerprint into its variants: all within half the radius."""
+    return np.array([0, *(1 << i for i in range(width))], "u8")
+
+
+def _variants(scheme: Scheme, width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, keys, nodes): the variants of nodes (node, parts), gathered by part and hash of the variant, packed."""
+    flips, wide = ball(width), -(-width // 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_nothing()
+        for batch in (whole.slice(at, _SLICE) for whole in batches for at in range(0, whole.num_rows, _SLICE)):
+            prints = scheme.used(batch.column("parts").flatten().to_numpy().view("u8").reshape(-1, scheme.parts), width)
+            owners = np.repeat(batch.column("node").to_numpy(), len(flips))
+            for part in range(scheme.parts):
+                keys = (prints[:, part, None] ^ flips).ravel()
+                bucket = ((keys * _ODD) >> np.uint64(32)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0, [True]]))
+                packed, its = keys[order].astype("<u8").view("u1").reshape(-1, 8)[:, :wide], owners[order]
+                cuts = list(zip(edge[:-1], edge[1:], strict=True))
+                columns = [[part * buckets + int(bucket[order[i]]) for i, _ in cuts], [packed[i:j].tobytes() for i, j in cuts], [its[i:j].tobytes() for i, j in cuts]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "nodes"])
+
+    return run
+
+
+def pairs_of(its: int, nodes: np.ndarray, settle: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """What to compare first among the distinct, sorted nodes under one variant, and whether there are many: all pairs of a
+    few, else each with the least, itself included, or, unless they are to be settled, each with itself alone."""
     if len(nodes) <= ALL_PAIRS:
         i, j = np.triu_indices(len(nodes), 1)
-        return nodes[i], nodes[j]
-    heads, rest = np.full(len(nodes) - 1, nodes[0]), nodes[1:]
-    if key % 4:
-        return heads, rest
-    dealt = nodes[np.argsort((nodes.view("u8") ^ np.uint64(key & (2**64 - 1))) * (_DRAWN[1][0] | np.uint64(1)))]
-    a, b = np.minimum(dealt[1:], dealt[:-1]), np.maximum(dealt[1:], dealt[:-1])
-    return np.concatenate([heads, a]), np.concatenate([rest, b])
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each run of equal keys; the rows come sorted by key."""
-    held_key, held = np.zeros(0, "i8"), np.zeros(0, "i8")
-
-    def answer(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, "i8")
-        found = [pairs_of(int(keys[edge[k]]), np.unique(nodes[edge[k] : edge[k + 1]])) for k in np.flatnonzero(np.diff(edge) > 1)]
+        return nodes[i], nodes[j], False
+    return np.full(len(nodes), nodes[0]) if settle else nodes, nodes, True
+
+
+def dealt_pairs(its: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of nodes that follow each other in an order that the variant deals."""
+    dealt = nodes[np.argsort((nodes.view("u8") ^ np.uint64(its)) * _ODD)]
+    return np.minimum(dealt[1:], dealt[:-1]), np.maximum(dealt[1:], dealt[:-1]), False
+
+
+def _meet(width: int, buckets: int, settle: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b, key): pairs of each variant's nodes; key is the variant if there are many.  Rows come sorted by bucket."""
+    wide = -(-width // 8)
+
+    def answer(bucket: int, keys: list[bytes], nodes: list[bytes]) -> Iterator[pa.RecordBatch]:
+        raw = np.frombuffer(b"".join(keys), "u1").reshape(-1, wide)
+        full = np.zeros((len(raw), 8), "u1")
+        full[:, :wide] = raw
+        key, node = full.view("<u8").ravel(), np.frombuffer(b"".join(nodes), "i8")
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        found = []
+        for k in np.flatnonzero(np.diff(edge) > 1):
+            its, among = (bucket // buckets << 52) | int(key[edge[k]]), np.unique(node[edge[k] : edge[k + 1]])
+            found.append((its, *pairs_of(its, among, settle)))
+            if settle and found[-1][3] and (its * int(_ODD)) % 2**64 >> 56 == 0:  # under one of 256 variants, of which a node has a thousand
+                found.append((its, *dealt_pairs(its, among)))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
-
-    for batch in batches:
-        keys = np.concatenate([held_key, batch.column(0).to_numpy()])
-        nodes = np.concatenate([held, batch.column(1).to_numpy()])
-        cut = np.searchsorted(keys, keys[-1]) if len(keys) else 0
-        yield from answer(keys[:cut], nodes[:cut])
-        held_key, held = keys[cut:], nodes[cut:]
-    yield from answer(held_key, held)
+            a, b = (np.concatenate([x[i] for x in found]) for i in (1, 2))
+            sizes, many = [len(x[1]) for x in found], np.array([x[3] for x in found])
+            marks = pa.array(np.repeat([x[0] for x in found], sizes), pa.int64(), mask=np.repeat(~many, sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), marks], ["a", "b", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_nothing()
+        last, keys, nodes = None, [], []
+        for batch in batches:
+            for bucket, k, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "nodes")), strict=True):
+                if bucket != last and keys:
+                    yield from answer(last, keys, nodes)
+                    keys, nodes = [], []
+                last = bucket
+                keys.append(k)
+                nodes.append(n)
+        if keys:
+            yield from answer(last, keys, nodes)
+
+    return run
+
+
+def _met(nodes: DataFrame, scheme: Scheme, settle: bool) -> DataFrame:
+    """(a, b, key) of the nodes (node, parts) that meet in a variant of a part fingerprint."""
+    nodes = nodes.where("size(parts) > 0").select("node", "parts")
+    n = nodes.count()
+    width = scheme.width(n)
+    made = n * (width + 1)
+    buckets, tasks = -(-made // BUCKET_ROWS) or 1, -(-made * scheme.parts // MADE_ROWS) or 1
+    packed = nodes.repartition(tasks, "node").mapInArrow(_variants(scheme, width, buckets), "bucket long, keys binary, nodes binary")
+    dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return durable(dealt.mapInArrow(_meet(width, buckets, settle), "a long, b long, key long").distinct(), "near-met")
+
+
+def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+        found = [part_fingerprints(np.array(g, "i8").view("u8"), DEEP) for g in batch.column("grams").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "parts"])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +201,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
         found = [shingles(t) for t in batch.column("text").to_pylist()]
         node = pa.array([xxhash.xxh64_intdigest(g.tobytes()) - 2**63 for g in found], pa.int64())
-        bands = pa.array([part_fingerprints(g) for g in found], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), node, bands], ["id", "body", "node", "bands"])
+        parts = pa.array([part_fingerprints(g) for g in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), node, parts], ["id", "body", "node", "parts"])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +227,7 @@ def _near(pairs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def _around_hubs(dealt: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, hub) of the nodes that have more than ALL_PAIRS under a part fingerprint, not all of one component.  The hub is
+    """(node, hub) of the nodes that have more than ALL_PAIRS under a variant of DEEP (key), not all of one component.  The hub is
     the root of the component that has most of them."""
     named = dealt.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     parts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -168,17 +285,21 @@ def _beside_hubs(deltas: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_roots(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, root) of linked nodes.  nodes (node, bands, least: struct<unnamed, id, body>), rows (id, body, text)."""
-    dealt = nodes.select(F.explode("bands").alias("key"), "node")
-    pairs = durable(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long").distinct(), "near-pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    links = durable(_near(pairs, _grams_of(nodes, rows, asked)), "near-links")
+    """(node, root) of linked nodes.  nodes (node, parts, least: struct<unnamed, id, body>), rows (id, body, text)."""
+    met = _met(nodes, WIDE, settle=False)
+    crowded = durable(met.where("key is not null").select("b").distinct().toDF("node"), "near-crowded")
+    pairs = met.where("a < b").select("a", "b")
+    asked = crowded.union(pairs.select("a")).union(pairs.select("b")).distinct()
+    grams = _grams_of(nodes, rows, asked)
+    deep = durable(grams.join(crowded, "node", "left_semi").repartition("node").mapInArrow(_deep, "node long, parts array<long>"), "near-deep")
+    met = _met(deep, DEEP, settle=True)
+    pairs = durable(pairs.union(met.where("a < b").select("a", "b")).distinct(), "near-pairs")
+    links = durable(_near(pairs, grams), "near-links")
     roots = durable(components(links), "near-roots")
-    open_ = _around_hubs(dealt, roots)
+    open_ = _around_hubs(met.where("key is not null").select("key", F.col("b").alias("node")), roots)
     if open_.isEmpty():
         return roots
-    both = open_.select("node").union(open_.select(F.col("hub").alias("node"))).distinct()
-    deltas = _deltas(open_, _grams_of(nodes, rows, both))
+    deltas = _deltas(open_, grams)
     links = durable(links.union(deltas.where(_NEAR_HUB).select(F.col("hub").alias("a"), F.col("node").alias("b"))), "near-links")
     if deltas.where(f"not ({_NEAR_HUB})").isEmpty():
         return components(links)
@@ -195,7 +316,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text")).withColumn("body", F.xxhash64("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    marks = durable(rows.select("id", "body", "text").mapInArrow(_nodes, f"id {kind}, body long, node long, bands array<long>"), "near-marks")
+    marks = durable(rows.select("id", "body", "text").mapInArrow(_nodes, f"id {kind}, body long, node long, parts array<long>"), "near-marks")
     least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "body"))
-    nodes = durable(marks.groupBy("node").agg(least.alias("least"), F.min("bands").alias("bands")), "near-nodes")
+    nodes = durable(marks.groupBy("node").agg(least.alias("least"), F.min("parts").alias("parts")), "near-nodes")
     return one_of_each(docs, doc_id, text, marks, near_roots(nodes, rows))

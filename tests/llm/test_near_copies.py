@@ -139,3 +139,63 @@ def test_language_and_toxicity_decide_by_row(spark, tmp_path):
     spark.createDataFrame([(i, i % 2) for i in range(80) if i != 2], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.drop_toxic(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted((d or 0, t) for d, t, *_ in rows if "vile" not in t)
+
+
+def test_part_fingerprints_are_simhashes():
+    """Each bit by the weight of the shingles that have it set, in plain arithmetic."""
+    rng = np.random.default_rng(3)
+    for scheme in (near_copies.WIDE, near_copies.DEEP):
+        a, b, c, d = ([int(x) for x in row[:, 0]] for row in scheme.drawn())
+        for n in (1, 2, 7, 40):
+            found = np.sort(rng.integers(0, 2**64, n, dtype="u8"))
+            want = []
+            for part in range(scheme.parts):
+                value = 0
+                for piece in range(scheme.pieces):
+                    k = part * scheme.pieces + piece
+                    made = [int(g) for g in found]
+                    weights = [(-np.log(((((g ^ a[k]) * (b[k] | 1)) % 2**64 >> 11) + 0.5) / 2**53)) ** -3 for g in made]
+                    hashes = [(((g ^ c[k]) * (d[k] | 1)) % 2**64) >> 40 for g in made]
+                    for bit in range(scheme.bits):
+                        ones = sum(w for w, h in zip(weights, hashes, strict=True) if h >> (23 - bit) & 1)
+                        value |= int(2 * ones > sum(weights)) << (piece * scheme.bits + bit)
+                want.append(value)
+            assert near_copies.part_fingerprints(found, scheme) == want
+    assert near_copies.part_fingerprints(found[:0]) == []
+
+
+def test_sets_at_the_threshold_meet():
+    """Of sets of similarity 0.8 and little more, next to all are within the radius in one part."""
+    rng = np.random.default_rng(5)
+    for scheme, width in ((near_copies.WIDE, 32), (near_copies.DEEP, 39)):
+        met = []
+        for n in (5, 9, 60, 200) * 100:
+            drawn = rng.integers(0, 2**64, n + n // 9, dtype="u8")
+            x, y = (drawn[: n - n // 5], drawn[:n]) if n < 9 else (drawn[:n], drawn[n // 9 :])
+            assert near(set(x.tolist()), set(y.tolist()))
+            both = [scheme.used(np.array(near_copies.part_fingerprints(np.sort(z), scheme), "u8"), width) for z in (x, y)]
+            met.append((np.bitwise_count(both[0] ^ both[1]) <= near_copies.RADIUS).any())
+        assert np.mean(met) >= 0.995
+
+
+def test_all_within_the_radius_meet(spark):
+    """What the balls find is what all pairs find; nodes under a crowded variant are named with it."""
+    rng = np.random.default_rng(8)
+    scheme = near_copies.WIDE._replace(parts=2)
+    base = rng.integers(0, 2**16, (300, 2, 2))
+    base[100:] = base[rng.integers(0, 100, 200)]
+    for i in range(100, 300):
+        base[i, 0, rng.integers(0, 2)] ^= (1 << int(rng.integers(0, 16))) | (1 << int(rng.integers(0, 16)))
+        base[i, 1] = rng.integers(0, 2**16, 2)
+    base[:30, 1] = base[0, 1]
+    prints = [[int(p[0] | p[1] << scheme.bits) for p in x] for x in base]
+    nodes = spark.createDataFrame([(n - 150, p) for n, p in enumerate(prints)], "node long, parts array<long>")
+    met = near_copies._met(nodes, scheme, settle=False).collect()
+    apart = np.bitwise_count(np.array(prints)[:, None] ^ np.array(prints)[None])
+    want = {(i - 150, j - 150) for i, j in zip(*np.nonzero(np.triu((apart <= near_copies.RADIUS).any(2), 1)), strict=True)}
+    crowd = {n - 150 for n in range(30)}
+    assert {r["b"] for r in met if r["key"] is not None} == crowd
+    got = {(r["a"], r["b"]) for r in met if r["a"] < r["b"]}
+    assert got <= want and {x for x in want if not set(x) <= crowd} <= got and len(want) > 500
+    settled = near_copies._met(nodes, scheme, settle=True).where("key is not null").select("a", "b").distinct().collect()
+    assert {r["b"] for r in settled} == crowd and {r["a"] for r in settled} == {-150}
