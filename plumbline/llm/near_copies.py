@@ -32,6 +32,8 @@ WORDS = 5
 RADIUS = 2
 #: Up to so many nodes under a variant are all compared with each other.
 ALL_PAIRS = 16
+#: They are compared if they meet in so many parts of DEEP: a pair at 0.8 does in ten, one at 0.5 in a tenth.
+DEEP_MEETS = 2
 #: Variants in a bucket, about, and in a task that emits them.
 BUCKET_ROWS, MADE_ROWS = 250_000, 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -63,7 +65,7 @@ class Scheme(NamedTuple):
         return out
 
 
-WIDE, DEEP = Scheme(20, 9, 2, 24, 16), Scheme(21, 28, 13, 4, 3)
+WIDE, DEEP = Scheme(20, 9, 2, 24, 16), Scheme(21, 34, 13, 4, 3)
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -138,7 +140,8 @@ def dealt_pairs(its: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, bo
 
 
 def _meet(width: int, buckets: int, settle: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b, key): pairs of each variant's nodes; key is the variant if there are many.  Rows come sorted by bucket."""
+    """(a, b, key, part): pairs of each variant's nodes; key is the variant if there are many, else it has the number of its
+    part.  Rows come sorted by bucket."""
     wide = -(-width // 8)
 
     def answer(bucket: int, keys: list[bytes], nodes: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -149,17 +152,20 @@ def _meet(width: int, buckets: int, settle: bool) -> Callable[[Iterator[pa.Recor
         order = np.argsort(key, kind="stable")
         key, node = key[order], node[order]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        found = []
+        found, crowded = [], set()
         for k in np.flatnonzero(np.diff(edge) > 1):
             its, among = (bucket // buckets << 52) | int(key[edge[k]]), np.unique(node[edge[k] : edge[k + 1]])
             found.append((its, *pairs_of(its, among, settle)))
+            if found[-1][3]:
+                crowded.add(its)
             if settle and found[-1][3] and (its * int(_ODD)) % 2**64 >> 56 == 0:  # under one of 256 variants, of which a node has a thousand
                 found.append((its, *dealt_pairs(its, among)))
         if found:
             a, b = (np.concatenate([x[i] for x in found]) for i in (1, 2))
             sizes, many = [len(x[1]) for x in found], np.array([x[3] for x in found])
             marks = pa.array(np.repeat([x[0] for x in found], sizes), pa.int64(), mask=np.repeat(~many, sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), marks], ["a", "b", "key"])
+            parts = pa.array(np.repeat([-1 if x[0] in crowded else x[0] >> 52 for x in found], sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), marks, parts], ["a", "b", "key", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_nothing()
@@ -179,7 +185,7 @@ def _meet(width: int, buckets: int, settle: bool) -> Callable[[Iterator[pa.Recor
 
 
 def _met(nodes: DataFrame, scheme: Scheme, settle: bool) -> DataFrame:
-    """(a, b, key) of the nodes (node, parts) that meet in a variant of a part fingerprint."""
+    """(a, b, key, part), as _meet() has them, of the nodes (node, parts) that meet in a variant of a part fingerprint."""
     nodes = nodes.where("size(parts) > 0").select("node", "parts")
     n = nodes.count()
     width = scheme.width(n)
@@ -187,7 +193,7 @@ def _met(nodes: DataFrame, scheme: Scheme, settle: bool) -> DataFrame:
     buckets, tasks = -(-made // BUCKET_ROWS) or 1, -(-made * scheme.parts // MADE_ROWS) or 1
     packed = nodes.repartition(tasks, "node").mapInArrow(_variants(scheme, width, buckets), "bucket long, keys binary, nodes binary")
     dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return durable(dealt.mapInArrow(_meet(width, buckets, settle), "a long, b long, key long").distinct(), "near-met")
+    return durable(dealt.mapInArrow(_meet(width, buckets, settle), "a long, b long, key long, part long").distinct(), "near-met")
 
 
 def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,13 +266,15 @@ def _beside_hubs(deltas: DataFrame, roots: DataFrame) -> DataFrame:
     the grams that can be shared have their place, here the rarest first, both hold the first that they share within what is
     left of their deltas' length; and its place bounds how many more they can share.  Nodes near their hub are one component,
     so one of a pair isn't, and a gram that one component alone holds there makes no pair.  Hubs that all their nodes are near
-    to make no rows.  Rows are delta grams, of which a near copy has a few for each word that was changed.
+    to, or whose nodes are one component, make no rows.  Rows are delta grams, of which a near copy has a few for each word that was changed.
     """
     out = (~F.expr(_NEAR_HUB)).alias("out")
-    kept = with_maybe(deltas, F.col("hub"), deltas.where(out).select(F.col("hub").alias("key")).distinct()).where("_maybe")
-    kept = durable(kept.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-beside-hubs")
+    rooted = durable(deltas.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-beside-hubs")
+    hubs = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or(out).alias("some"))
+    kept = with_maybe(rooted, F.col("hub"), hubs.where("low < high and some").select(F.col("hub").alias("key"))).where("_maybe")
     tagged = F.concat(_tagged("more", 0), _tagged("less", 1))
     each = kept.select("node", "hub", "h", "e", "d", "root", out, F.explode(tagged).alias("x")).select("node", "hub", "h", "e", "d", "root", "out", "x.gram", "x.tag")
+    each = durable(each, "near-each")  # read twice and made once
     times = each.groupBy("hub", "gram", "tag").agg(F.count(F.lit(1)).alias("times"), F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("out").alias("some"))
     times = durable(times.where("low < high and some").select("hub", "gram", "tag", "times"), "near-times")
     live = each.join(times, ["hub", "gram", "tag"])
@@ -293,7 +301,8 @@ def near_roots(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     grams = _grams_of(nodes, rows, asked)
     deep = durable(grams.join(crowded, "node", "left_semi").repartition("node").mapInArrow(_deep, "node long, parts array<long>"), "near-deep")
     met = _met(deep, DEEP, settle=True)
-    pairs = durable(pairs.union(met.where("a < b").select("a", "b")).distinct(), "near-pairs")
+    often = met.where("part >= 0").select("a", "b", "part").distinct().groupBy("a", "b").count().where(f"count >= {DEEP_MEETS}")
+    pairs = durable(pairs.union(often.select("a", "b")).union(met.where("part < 0 and a < b").select("a", "b")).distinct(), "near-pairs")
     links = durable(_near(pairs, grams), "near-links")
     roots = durable(components(links), "near-roots")
     open_ = _around_hubs(met.where("key is not null").select("key", F.col("b").alias("node")), roots)
