@@ -3,8 +3,8 @@
 SimHash with meet-in-the-middle ball hashing, on part fingerprints.  A plain 64-bit SimHash differs in about 10 bits at that
 similarity, too far for balls around it.  So several are taken, each of a few pieces: in a piece, a few shingles that their
 hashes draw carry most of the weight.  Fingerprints within RADIUS bits in one part meet, as all variants within half that
-radius are emitted; and what meets is verified by the shingle sets themselves.  Sets of similarity 0.8 meet under one of the
-parts of WIDE with a probability of 0.999 or more.  Variants that many nodes share are left to the parts of DEEP, of more
+radius are made.  What meets and is alike by a plain SimHash of 128 bits, which goes along, is verified by the shingle sets
+themselves.  Sets of similarity 0.8 meet under one of the parts of WIDE with a probability of 0.999 or more.  Variants that many nodes share are left to the parts of DEEP, of more
 pieces, under which sets of less similarity seldom meet; what is crowded there too is settled through hubs.  Equal sets are
 one node from the start.
 """
@@ -12,7 +12,7 @@ one node from the start.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, partial
 from typing import NamedTuple
 
 import numpy as np
@@ -30,10 +30,15 @@ SHARED, OF = 4, 5
 WORDS = 5
 #: Fingerprints within so many bits meet, as each emits all variants within half as many.
 RADIUS = 2
-#: Up to so many nodes under a variant are all compared with each other.
+#: Up to so many nodes under a variant, and more that make no more pairs for each, are all compared if they are alike.
 ALL_PAIRS = 16
 #: They are compared if they meet in so many parts of DEEP: a pair at 0.8 does in ten, one at 0.5 in a tenth.
 DEEP_MEETS = 2
+#: What differs in more bits of the plain fingerprint isn't compared: sets at 0.8 differ in 19, the smallest in 24 with a
+#: standard deviation of 4.4, others in 64.
+PLAIN = 44
+#: All pairs of so many nodes under a variant are looked at by their plain fingerprints.
+CHECKED = 512
 #: Variants in a bucket, about, and in a task that emits them.
 BUCKET_ROWS, MADE_ROWS = 250_000, 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -97,109 +102,158 @@ def part_fingerprints(grams: np.ndarray, scheme: Scheme = WIDE) -> list[int]:
     return [int(x) for x in (pieces << scheme.bits * np.arange(scheme.pieces)).sum(1)]
 
 
-def ball(width: int) -> np.ndarray:
-    """What turns a fingerprint into its variants: all within half the radius."""
-    return np.array([0, *(1 << i for i in range(width))], "u8")
+def plain_fingerprint(grams: np.ndarray) -> list[int]:
+    """A SimHash of 128 bits in two halves: a bit is 1 if it is set in over half of the shingles' hashes.  No shingles: 0."""
+    ones = np.zeros(128, "i8")
+    for at in range(0, len(grams), _SLICE):
+        some = grams[at : at + _SLICE]
+        other = (some ^ (some >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        other = (other ^ (other >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        hashes = np.stack([some, other ^ (other >> np.uint64(31))], 1)
+        ones += np.unpackbits(hashes.view("u1"), axis=1, bitorder="little").sum(0, dtype="i8")
+    return np.packbits(2 * ones > len(grams), bitorder="little").view("<i8").tolist()
+
+
+class Deal(NamedTuple):
+    """How variants of so many bits are dealt to 2 ** `parities` buckets: by the parities of bits i, i + parities, ...
 
+    A fingerprint's variants then lie in its own bucket and those that differ from it in one parity, however many variants
+    they are.  So a bucket is sent the fingerprint, and makes the variants that are its own.
+    """
+
+    width: int
+    parities: int
+
+    def bucket(self, prints: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(prints), "i8")
+        for j in range(self.parities):
+            its = np.uint64(sum(1 << i for i in range(j, self.width, self.parities)))
+            out |= (np.bitwise_count(prints & its) & 1).astype("i8") << j
+        return out
 
-def _variants(scheme: Scheme, width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(bucket, keys, nodes): the variants of nodes (node, parts), gathered by part and hash of the variant, packed."""
-    flips, wide = ball(width), -(-width // 8)
+    def ball(self) -> dict[int, np.ndarray]:
+        """What turns a fingerprint into its variants, all within half the radius, by what turns its bucket into theirs."""
+        flips = [1 << i for i in range(self.width)]
+        if not self.parities:
+            return {0: np.array([0, *flips], "u8")}
+        return {0: np.zeros(1, "u8")} | {1 << j: np.array(flips[j :: self.parities], "u8") for j in range(self.parities)}
+
+
+def _sent(scheme: Scheme, deal: Deal) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, prints, nodes, plain): the part fingerprints of nodes (node, parts, plain), once for each bucket of their variants, packed."""
+    moves, wide = np.array(list(deal.ball())), -(-deal.width // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_nothing()
         for batch in (whole.slice(at, _SLICE) for whole in batches for at in range(0, whole.num_rows, _SLICE)):
-            prints = scheme.used(batch.column("parts").flatten().to_numpy().view("u8").reshape(-1, scheme.parts), width)
-            owners = np.repeat(batch.column("node").to_numpy(), len(flips))
+            prints = scheme.used(batch.column("parts").flatten().to_numpy().view("u8").reshape(-1, scheme.parts), deal.width)
+            nodes, plain = batch.column("node").to_numpy(), batch.column("plain").flatten().to_numpy().reshape(-1, 2)
             for part in range(scheme.parts):
-                keys = (prints[:, part, None] ^ flips).ravel()
-                bucket = ((keys * _ODD) >> np.uint64(32)) % np.uint64(buckets)
+                bucket = (deal.bucket(prints[:, part])[:, None] ^ moves).ravel()
                 order = np.argsort(bucket, kind="stable")
                 edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0, [True]]))
-                packed, its = keys[order].astype("<u8").view("u1").reshape(-1, 8)[:, :wide], owners[order]
+                its = order // len(moves)
+                packed = np.ascontiguousarray(prints[its, part].astype("<u8").view("u1").reshape(-1, 8)[:, :wide])
                 cuts = list(zip(edge[:-1], edge[1:], strict=True))
-                columns = [[part * buckets + int(bucket[order[i]]) for i, _ in cuts], [packed[i:j].tobytes() for i, j in cuts], [its[i:j].tobytes() for i, j in cuts]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "nodes"])
+                columns = [[(part << deal.parities) + int(bucket[order[i]]) for i, _ in cuts], *([x[i:j].tobytes() for i, j in cuts] for x in (packed, nodes[its], plain[its]))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), *[pa.binary()] * 3), strict=True)], ["bucket", "prints", "nodes", "plain"])
 
     return run
 
 
-def pairs_of(its: int, nodes: np.ndarray, settle: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """What to compare first among the distinct, sorted nodes under one variant, and whether there are many: all pairs of a
-    few, else each with the least, itself included, or, unless they are to be settled, each with itself alone."""
-    if len(nodes) <= ALL_PAIRS:
-        i, j = np.triu_indices(len(nodes), 1)
-        return nodes[i], nodes[j], False
-    return np.full(len(nodes), nodes[0]) if settle else nodes, nodes, True
-
-
-def dealt_pairs(its: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+def dealt_pairs(its: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes that follow each other in an order that the variant deals."""
     dealt = nodes[np.argsort((nodes.view("u8") ^ np.uint64(its)) * _ODD)]
-    return np.minimum(dealt[1:], dealt[:-1]), np.maximum(dealt[1:], dealt[:-1]), False
+    return dealt[1:], dealt[:-1]
 
 
-def _meet(width: int, buckets: int, settle: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b, key, part): pairs of each variant's nodes; key is the variant if there are many, else it has the number of its
-    part.  Rows come sorted by bucket."""
-    wide = -(-width // 8)
+def _meet(deal: Deal, settle: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b, key, part): what to compare of each variant's nodes.  Rows come sorted by bucket.
 
-    def answer(bucket: int, keys: list[bytes], nodes: list[bytes]) -> Iterator[pa.RecordBatch]:
-        raw = np.frombuffer(b"".join(keys), "u1").reshape(-1, wide)
-        full = np.zeros((len(raw), 8), "u1")
-        full[:, :wide] = raw
-        key, node = full.view("<u8").ravel(), np.frombuffer(b"".join(nodes), "i8")
+    Those pairs of a variant's nodes that are alike by their plain fingerprints, with the number of the part; of equal part
+    fingerprints only under the variant that equals them.  If that is more than what ALL_PAIRS nodes have for each, or the
+    nodes are more than CHECKED, key is the variant, part is -1, and each node is paired with the least, itself included, or,
+    unless they are to be settled, with itself alone.
+    """
+    wide, ball = -(-deal.width // 8), deal.ball()
+
+    def answer(bucket: int, held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        raw, nodes, plain = (b"".join(x) for x in zip(*held, strict=True))
+        part, node, plain = bucket >> deal.parities, np.frombuffer(nodes, "i8"), np.frombuffer(plain, "u8").reshape(-1, 2)
+        full = np.zeros((len(node), 8), "u1")
+        full[:, :wide] = np.frombuffer(raw, "u1").reshape(-1, wide)
+        prints = full.view("<u8").ravel()
+        move = deal.bucket(prints) ^ (bucket & ((1 << deal.parities) - 1))
+        made = [(prints[of, None] ^ flips, np.repeat(of, len(flips))) for m, flips in ball.items() for of in [np.flatnonzero(move == m)]]
+        key, of = np.concatenate([k.ravel() for k, _ in made]), np.concatenate([o for _, o in made])
         order = np.argsort(key, kind="stable")
-        key, node = key[order], node[order]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        found, crowded = [], set()
-        for k in np.flatnonzero(np.diff(edge) > 1):
-            its, among = (bucket // buckets << 52) | int(key[edge[k]]), np.unique(node[edge[k] : edge[k + 1]])
-            found.append((its, *pairs_of(its, among, settle)))
-            if found[-1][3]:
-                crowded.add(its)
-            if settle and found[-1][3] and (its * int(_ODD)) % 2**64 >> 56 == 0:  # under one of 256 variants, of which a node has a thousand
-                found.append((its, *dealt_pairs(its, among)))
-        if found:
-            a, b = (np.concatenate([x[i] for x in found]) for i in (1, 2))
-            sizes, many = [len(x[1]) for x in found], np.array([x[3] for x in found])
-            marks = pa.array(np.repeat([x[0] for x in found], sizes), pa.int64(), mask=np.repeat(~many, sizes))
-            parts = pa.array(np.repeat([-1 if x[0] in crowded else x[0] >> 52 for x in found], sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), marks, parts], ["a", "b", "key", "part"])
+        key, of = key[order], of[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        own = prints[of]
+        once = (np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)) | (own[first] == key[first])
+        found: list[tuple[np.ndarray, np.ndarray, int | None, int]] = []
+
+        def alike(x: np.ndarray, y: np.ndarray, its: np.ndarray | np.uint64) -> np.ndarray:
+            return ((prints[x] != prints[y]) | (prints[x] == its)) & (np.bitwise_count(plain[x] ^ plain[y]).sum(1) <= PLAIN)
+
+        two = first[(size == 2) & once]
+        keep = alike(of[two], of[two + 1], key[two])
+        found.append((node[of[two[keep]]], node[of[two[keep] + 1]], None, part))
+        for k in np.flatnonzero((size > 2) & (once | (settle & (size > ALL_PAIRS)))):
+            among, its = of[first[k] : first[k] + size[k]], (part << 52) | int(key[first[k]])
+            among = among[np.argsort(node[among])]
+            n, crowded = len(among), len(among) > CHECKED
+            if once[k] and not crowded:
+                i, j = np.triu_indices(n, 1)
+                keep = alike(among[i], among[j], key[first[k]])
+                if not (crowded := 2 * keep.sum() > (ALL_PAIRS - 1) * n):
+                    found.append((node[among[i[keep]]], node[among[j[keep]]], None, part))
+            if once[k] and crowded:
+                found.append((np.full(n, node[among[0]]) if settle else node[among], node[among], its, -1))
+            if settle and (crowded or not once[k]) and (its * int(_ODD)) % 2**64 >> 56 == 0:  # under one of 256 variants, of which a node has a thousand
+                found.append((*dealt_pairs(its, node[among]), None, -1))
+        a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        sizes = [len(x[0]) for x in found]
+        marks = pa.array(np.repeat([x[2] or 0 for x in found], sizes), pa.int64(), mask=np.repeat([x[2] is None for x in found], sizes))
+        columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), marks, pa.array(np.repeat([x[3] for x in found], sizes))]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_nothing()
-        last, keys, nodes = None, [], []
+        last, held = None, []
         for batch in batches:
-            for bucket, k, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "nodes")), strict=True):
-                if bucket != last and keys:
-                    yield from answer(last, keys, nodes)
-                    keys, nodes = [], []
+            for bucket, *rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "prints", "nodes", "plain")), strict=True):
+                if bucket != last and held:
+                    yield answer(last, held)
+                    held = []
                 last = bucket
-                keys.append(k)
-                nodes.append(n)
-        if keys:
-            yield from answer(last, keys, nodes)
+                held.append(tuple(rest))
+        if held:
+            yield answer(last, held)
 
     return run
 
 
 def _met(nodes: DataFrame, scheme: Scheme, settle: bool) -> DataFrame:
-    """(a, b, key, part), as _meet() has them, of the nodes (node, parts) that meet in a variant of a part fingerprint."""
-    nodes = nodes.where("size(parts) > 0").select("node", "parts")
+    """(a, b, key, part), as _meet() has them, of the nodes (node, parts, plain) that meet in a variant of a part fingerprint.
+    Without plain, all are alike."""
+    plain = F.col("plain") if "plain" in nodes.columns else F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    nodes = nodes.where("size(parts) > 0").select("node", "parts", plain.alias("plain"))
     n = nodes.count()
     width = scheme.width(n)
     made = n * (width + 1)
-    buckets, tasks = -(-made // BUCKET_ROWS) or 1, -(-made * scheme.parts // MADE_ROWS) or 1
-    packed = nodes.repartition(tasks, "node").mapInArrow(_variants(scheme, width, buckets), "bucket long, keys binary, nodes binary")
-    dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return durable(dealt.mapInArrow(_meet(width, buckets, settle), "a long, b long, key long, part long").distinct(), "near-met")
+    deal, tasks = Deal(width, min(width, max(0, -(-made // BUCKET_ROWS) - 1).bit_length())), -(-made * scheme.parts // MADE_ROWS) or 1
+    sent = nodes.repartition(tasks, "node").mapInArrow(_sent(scheme, deal), "bucket long, prints binary, nodes binary, plain binary")
+    dealt = sent.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return durable(dealt.mapInArrow(_meet(deal, settle), "a long, b long, key long, part long").distinct(), "near-met")
 
 
 def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
-        found = [part_fingerprints(np.array(g, "i8").view("u8"), DEEP) for g in batch.column("grams").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "parts"])
+        grams = [np.array(g, "i8").view("u8") for g in batch.column("grams").to_pylist()]
+        found = [pa.array([f(g) for g in grams], pa.list_(pa.int64())) for f in (partial(part_fingerprints, scheme=DEEP), plain_fingerprint)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *found], ["node", "parts", "plain"])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +261,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
         found = [shingles(t) for t in batch.column("text").to_pylist()]
         node = pa.array([xxhash.xxh64_intdigest(g.tobytes()) - 2**63 for g in found], pa.int64())
-        parts = pa.array([part_fingerprints(g) for g in found], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), node, parts], ["id", "body", "node", "parts"])
+        parts, plain = (pa.array([f(g) for g in found], pa.list_(pa.int64())) for f in (part_fingerprints, plain_fingerprint))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), node, parts, plain], ["id", "body", "node", "parts", "plain"])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +275,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _grams_of(nodes: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, grams) of the wanted nodes, from the text of one row each."""
     asked = durable(nodes.join(wanted, "node").select("node", F.col("least.id").alias("its_id"), F.col("least.body").alias("its_body")), "near-asked")
+    rows = with_maybe(rows, F.xxhash64("id", "body"), asked.select(F.xxhash64("its_id", "its_body").alias("key"))).where("_maybe")  # few texts shuffle
     texts = rows.join(asked, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("body") == F.col("its_body"))).select("node", "text")
     return durable(texts.mapInArrow(_grams, "node long, grams array<long>").dropDuplicates(["node"]), "near-grams")
 
@@ -293,26 +348,29 @@ def _beside_hubs(deltas: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_roots(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, root) of linked nodes.  nodes (node, parts, least: struct<unnamed, id, body>), rows (id, body, text)."""
+    """(node, root) of linked nodes.  nodes (node, parts, plain, least: struct<unnamed, id, body>), rows (id, body, text)."""
     met = _met(nodes, WIDE, settle=False)
     crowded = durable(met.where("key is not null").select("b").distinct().toDF("node"), "near-crowded")
-    pairs = met.where("a < b").select("a", "b")
+    pairs = met.where("a < b").select("a", "b").distinct()
     asked = crowded.union(pairs.select("a")).union(pairs.select("b")).distinct()
     grams = _grams_of(nodes, rows, asked)
-    deep = durable(grams.join(crowded, "node", "left_semi").repartition("node").mapInArrow(_deep, "node long, parts array<long>"), "near-deep")
+    if crowded.isEmpty():
+        return components(_near(pairs, grams))
+    deep = durable(grams.join(crowded, "node", "left_semi").repartition("node").mapInArrow(_deep, "node long, parts array<long>, plain array<long>"), "near-deep")
     met = _met(deep, DEEP, settle=True)
-    often = met.where("part >= 0").select("a", "b", "part").distinct().groupBy("a", "b").count().where(f"count >= {DEEP_MEETS}")
+    often = met.where("part >= 0").groupBy("a", "b").agg(F.count_distinct("part").alias("n")).where(f"n >= {DEEP_MEETS}")
     pairs = durable(pairs.union(often.select("a", "b")).union(met.where("part < 0 and a < b").select("a", "b")).distinct(), "near-pairs")
-    links = durable(_near(pairs, grams), "near-links")
-    roots = durable(components(links), "near-roots")
+    roots = durable(components(_near(pairs, grams)), "near-roots")
     open_ = _around_hubs(met.where("key is not null").select("key", F.col("b").alias("node")), roots)
     if open_.isEmpty():
         return roots
     deltas = _deltas(open_, grams)
-    links = durable(links.union(deltas.where(_NEAR_HUB).select(F.col("hub").alias("a"), F.col("node").alias("b"))), "near-links")
+    # what is joined already goes on as stars
+    links = roots.toDF("a", "b").union(deltas.where(_NEAR_HUB).select(F.col("hub").alias("a"), F.col("node").alias("b")))
     if deltas.where(f"not ({_NEAR_HUB})").isEmpty():
         return components(links)
-    return components(links.union(_beside_hubs(deltas, durable(components(links), "near-roots"))))
+    roots = durable(components(links), "near-roots")
+    return components(roots.toDF("a", "b").union(_beside_hubs(deltas, roots)))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -325,7 +383,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text")).withColumn("body", F.xxhash64("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    marks = durable(rows.select("id", "body", "text").mapInArrow(_nodes, f"id {kind}, body long, node long, parts array<long>"), "near-marks")
+    marks = durable(rows.select("id", "body", "text").mapInArrow(_nodes, f"id {kind}, body long, node long, parts array<long>, plain array<long>"), "near-marks")
     least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "body"))
-    nodes = durable(marks.groupBy("node").agg(least.alias("least"), F.min("parts").alias("parts")), "near-nodes")
+    nodes = durable(marks.groupBy("node").agg(least.alias("least"), F.min("parts").alias("parts"), F.min("plain").alias("plain")), "near-nodes")
     return one_of_each(docs, doc_id, text, marks, near_roots(nodes, rows))

@@ -217,3 +217,53 @@ def test_hub_grams_are_made_once_and_only_for_open_hubs(spark):
     assert {r["node"] for r in tables["near-each"].select("node").distinct().collect()} == set(range(15, 30))
     assert tables["near-each"].count() == 15 * 40
     assert "Generate" not in tables["near-times"]._jdf.queryExecution().toString()
+
+
+def shuffled(spark):
+    """Bytes that this session has shuffled so far."""
+    each = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+
+def test_variants_are_made_where_they_meet(spark, monkeypatch):
+    """With many buckets all within the radius still meet, and a node shuffles far less than its 297 variants of 12 bytes."""
+    monkeypatch.setattr(near_copies, "BUCKET_ROWS", 4000)
+    rng = np.random.default_rng(9)
+    prints = rng.integers(0, 2**40, (2000, near_copies.WIDE.parts)) & ~np.int64(0xFF0000)  # two pieces of 16 bits
+    for i in range(1000, 2000):
+        prints[i, i % 9] = prints[i - 1000, i % 9]
+        for flip in rng.choice([*range(16), *range(24, 40)], i % 4):
+            prints[i, i % 9] ^= 1 << int(flip)
+    plain = rng.integers(-(2**63), 2**63, (1000, 2))
+    rows = [(n - 900, prints[n].tolist(), plain[n % 1000].tolist()) for n in range(2000)]
+    nodes = spark.createDataFrame(rows, "node long, parts array<long>, plain array<long>")
+    before = shuffled(spark)
+    met = near_copies._met(nodes, near_copies.WIDE, settle=False).collect()
+    assert shuffled(spark) - before < 2000 * 297 * 12 / 1.5
+    apart = [np.bitwise_count(prints[n] ^ prints[n + 1000]).min() for n in range(1000)]
+    want = {(n - 900, n + 100) for n in range(1000) if apart[n] <= near_copies.RADIUS}
+    assert {(r["a"], r["b"]) for r in met} == want and len(want) > 600
+
+
+def test_unlike_nodes_under_a_variant_are_not_compared(spark):
+    """A part fingerprint that unlike nodes share makes neither a crowd nor pairs but those that are alike."""
+    rng = np.random.default_rng(10)
+    plain = rng.integers(-(2**63), 2**63, (300, 2))
+    plain[200:210] = plain[:10] ^ 0b10101
+    nodes = spark.createDataFrame([(n, [7] * 9, p) for n, p in enumerate(plain.tolist())], "node long, parts array<long>, plain array<long>")
+    met = near_copies._met(nodes, near_copies.WIDE, settle=False).collect()
+    assert {(r["a"], r["b"]) for r in met if np.bitwise_count((plain[r["a"]] ^ plain[r["b"]]).view("u8")).sum() <= 6} == {(n, 200 + n) for n in range(10)}
+    assert all(r["key"] is None for r in met) and len(met) < 9 * 60
+
+
+def test_near_sets_are_alike_by_plain_fingerprints():
+    rng = np.random.default_rng(12)
+    apart, others = [], []
+    for n in (4, 5, 9, 10, 60, 200) * 200:
+        drawn = rng.integers(0, 2**64, n + n // 4, dtype="u8")
+        x, y = drawn[:n], drawn
+        assert near(set(x.tolist()), set(y.tolist()))
+        x, y, z = (np.array(near_copies.plain_fingerprint(np.sort(s)), "i8").view("u8") for s in (x, y, rng.integers(0, 2**64, n, dtype="u8")))
+        apart.append(np.bitwise_count(x ^ y).sum())
+        others.append(np.bitwise_count(x ^ z).sum())
+    assert max(apart) <= near_copies.PLAIN and np.mean(np.array(others) <= near_copies.PLAIN) < 0.01
