@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.values import col
 from plumbline.llm import language_id, line_dedup, near_copies, packing, toxicity
-from plumbline.llm.common import durable, table, without
+from plumbline.llm.common import durable, give_back, table, without
 
 #: A document goes if the model holds it likelier than not that its grade is above 0.
 TOXIC_FROM = 0.5
@@ -43,7 +43,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no words and stays.  Rows without a doc_id and rows that share one are decided one by one by
     their texts, equal rows alike.  Without labels of both kinds nothing goes.  An empty table gives an empty result.
     """
-    graded = toxicity.predict(_keyed(docs), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    give_back()  # the driver's share of the fit
+    graded = toxicity.predict(_keyed(docs), model)
     return _kept(docs, durable(graded.where(F.col("p_toxic") >= TOXIC_FROM).select("doc_id"), "toxic"))
 
 
@@ -54,7 +56,9 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows without a doc_id and rows that share one are decided one by one by their texts, equal rows alike.  If no row
     names a language every document goes.  An empty table gives an empty result.
     """
-    found = language_id.predict(_keyed(docs), language_id.fit(docs, learn_from=~language_id.held_out("doc_id")))
+    model = language_id.fit(docs, learn_from=~language_id.held_out("doc_id"))
+    give_back()
+    found = language_id.predict(_keyed(docs), model)
     out = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)
     return _kept(docs, durable(found.where(out).select("doc_id"), "language"))
 

@@ -111,7 +111,12 @@ def hold_nothing() -> None:
     if _held:
         _held.clear()
         gc.unfreeze()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """What this process has freed goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -4,9 +4,9 @@ SimHash with meet-in-the-middle ball hashing, on part fingerprints.  A plain 64-
 similarity, too far for balls around it.  So several are taken, each of a few pieces: in a piece, a few shingles that their
 hashes draw carry most of the weight.  Fingerprints within RADIUS bits in one part meet, as all variants within half that
 radius are made.  What meets and is alike by a plain SimHash of 128 bits, which goes along, is verified by the shingle sets
-themselves.  Sets of similarity 0.8 meet under one of the parts of WIDE with a probability of 0.999 or more.  Variants that many nodes share are left to the parts of DEEP, of more
-pieces, under which sets of less similarity seldom meet; what is crowded there too is settled through hubs.  Equal sets are
-one node from the start.
+themselves.  Sets of similarity 0.8 meet under one of the parts of WIDE with a probability of 0.999 or more.  Variants that
+many alike nodes share are left to the parts of DEEP, of more pieces, under which sets of less similarity seldom meet; what
+is crowded there too is settled through hubs.  Equal sets are one node from the start.
 """
 
 from __future__ import annotations
