@@ -4,13 +4,14 @@ SimHash with meet-in-the-middle ball hashing, on part fingerprints.  A plain 64-
 similarity, too far for balls around it.  So several are taken, each of a few pieces: in a piece, a few shingles that their
 hashes draw carry most of the weight.  Fingerprints within RADIUS bits in one part meet, as all variants within half that
 radius are made.  What meets and is alike by a plain SimHash of 128 bits, which goes along, is verified by the shingle sets
-themselves.  Sets of similarity 0.8 meet under one of the parts of WIDE with a probability of 0.999 or more.  Variants that
-many alike nodes share are left to the parts of DEEP, of more pieces, under which sets of less similarity seldom meet; what
-is crowded there too is settled through hubs.  Equal sets are one node from the start.
+themselves.  Sets of similarity 0.8 meet under one of the parts of WIDE with a probability of 0.999 or more.  Clusters of
+many alike nodes are left to the parts of DEEP, of more pieces, under which sets of less similarity seldom meet; what is
+crowded there too is settled through hubs.  Equal sets are one node from the start.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import cache, partial
 from typing import NamedTuple
@@ -30,7 +31,7 @@ SHARED, OF = 4, 5
 WORDS = 5
 #: Fingerprints within so many bits meet, as each emits all variants within half as many.
 RADIUS = 2
-#: Up to so many nodes under a variant, and more that make no more pairs for each, are all compared if they are alike.
+#: Clusters of up to so many nodes, and of more that make no more pairs for each, are compared pair by pair.
 ALL_PAIRS = 16
 #: They are compared if they meet in so many parts of DEEP: a pair at 0.8 does in ten, one at 0.5 in a tenth.
 DEEP_MEETS = 2
@@ -162,18 +163,31 @@ def _sent(scheme: Scheme, deal: Deal) -> Callable[[Iterator[pa.RecordBatch]], It
 
 
 def dealt_pairs(its: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes that follow each other in an order that the variant deals."""
-    dealt = nodes[np.argsort((nodes.view("u8") ^ np.uint64(its)) * _ODD)]
+    """Places of nodes that follow each other in an order that the variant deals."""
+    dealt = np.argsort((nodes.view("u8") ^ np.uint64(its)) * _ODD)
     return dealt[1:], dealt[:-1]
 
 
-def _meet(deal: Deal, settle: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b, key, part): what to compare of each variant's nodes.  Rows come sorted by bucket.
+def joined(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of n places the least that the links x, y join it to."""
+    least = np.arange(n)
+    while len(apart := np.flatnonzero(least[x] != least[y])):
+        i, j = least[x[apart]], least[y[apart]]
+        np.minimum.at(least, np.maximum(i, j), np.minimum(i, j))
+        while (least != (further := least[least])).any():
+            least = further
+    return least
+
 
-    Those pairs of a variant's nodes that are alike by their plain fingerprints, with the number of the part; of equal part
-    fingerprints only under the variant that equals them.  If that is more than what ALL_PAIRS nodes have for each, or the
-    nodes are more than CHECKED, key is the variant, part is -1, and each node is paired with the least, itself included, or,
-    unless they are to be settled, with itself alone.
+def _meet(deal: Deal, settle: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b, key, part): what to compare of each bucket's nodes.  Rows come sorted by bucket.
+
+    Under each variant, nodes make pairs that are alike by their plain fingerprints; of equal part fingerprints only under
+    the variant that equals them.  What such pairs join in a bucket is a cluster.  Its pairs are made once each, with the
+    number of the part, unless they are more than what ALL_PAIRS nodes have for each, or a variant alone has as many or
+    more than CHECKED nodes.  Then each of the cluster's nodes makes one row, however many variants and pairs it has
+    there: part is -1, key is the part fingerprint of the cluster's least node, b is the node, and a is the node itself
+    or, if they are to be settled, the one most alike among the smaller that it met, else the least.
     """
     wide, ball = -(-deal.width // 8), deal.ball()
 
@@ -182,7 +196,8 @@ def _meet(deal: Deal, settle: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
         part, node, plain = bucket >> deal.parities, np.frombuffer(nodes, "i8"), np.frombuffer(plain, "u8").reshape(-1, 2)
         full = np.zeros((len(node), 8), "u1")
         full[:, :wide] = np.frombuffer(raw, "u1").reshape(-1, wide)
-        prints = full.view("<u8").ravel()
+        order = np.argsort(node)
+        prints, node, plain = full.view("<u8").ravel()[order], node[order], plain[order]  # so that smaller places are smaller nodes
         move = deal.bucket(prints) ^ (bucket & ((1 << deal.parities) - 1))
         made = [(prints[of, None] ^ flips, np.repeat(of, len(flips))) for m, flips in ball.items() for of in [np.flatnonzero(move == m)]]
         key, of = np.concatenate([k.ravel() for k, _ in made]), np.concatenate([o for _, o in made])
@@ -192,32 +207,54 @@ def _meet(deal: Deal, settle: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
         size = np.diff(np.append(first, len(key)))
         own = prints[of]
         once = (np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)) | (own[first] == key[first])
-        found: list[tuple[np.ndarray, np.ndarray, int | None, int]] = []
+
+        def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(plain[x] ^ plain[y]).sum(-1, dtype="i8")
 
         def alike(x: np.ndarray, y: np.ndarray, its: np.ndarray | np.uint64) -> np.ndarray:
-            return ((prints[x] != prints[y]) | (prints[x] == its)) & (np.bitwise_count(plain[x] ^ plain[y]).sum(1) <= PLAIN)
+            return ((prints[x] != prints[y]) | (prints[x] == its)) & (apart(x, y) <= PLAIN)
 
         two = first[(size == 2) & once]
-        keep = alike(of[two], of[two + 1], key[two])
-        found.append((node[of[two[keep]]], node[of[two[keep] + 1]], None, part))
-        for k in np.flatnonzero((size > 2) & (once | (settle & (size > ALL_PAIRS)))):
-            among, its = of[first[k] : first[k] + size[k]], (part << 52) | int(key[first[k]])
-            among = among[np.argsort(node[among])]
-            n, crowded = len(among), len(among) > CHECKED
-            if once[k] and not crowded:
-                i, j = np.triu_indices(n, 1)
-                keep = alike(among[i], among[j], key[first[k]])
-                if not (crowded := 2 * keep.sum() > (ALL_PAIRS - 1) * n):
-                    found.append((node[among[i[keep]]], node[among[j[keep]]], None, part))
-            if once[k] and crowded:
-                found.append((np.full(n, node[among[0]]) if settle else node[among], node[among], its, -1))
-            if settle and (crowded or not once[k]) and (its * int(_ODD)) % 2**64 >> 56 == 0:  # under one of 256 variants, of which a node has a thousand
-                found.append((*dealt_pairs(its, node[among]), None, -1))
-        a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-        sizes = [len(x[0]) for x in found]
-        marks = pa.array(np.repeat([x[2] or 0 for x in found], sizes), pa.int64(), mask=np.repeat([x[2] is None for x in found], sizes))
-        columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), marks, pa.array(np.repeat([x[3] for x in found], sizes))]
-        return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "part"])
+        two = two[alike(of[two], of[two + 1], key[two])]
+        pairs, met, crowds = [(np.minimum(of[two], of[two + 1]), np.maximum(of[two], of[two + 1]))], [], []
+        for k in np.flatnonzero((size > 2) & once):
+            among, its = np.sort(of[first[k] : first[k] + size[k]]), key[first[k]]
+            n = len(among)
+            if n > CHECKED:
+                x, y = dealt_pairs((part << 52) | int(its), node[among])
+                met += [(np.full(n - 1, among[0]), among[1:]), (among[np.minimum(x, y)], among[np.maximum(x, y)])]
+                crowds.append((np.full(n, among[0]), among))
+                continue
+            i, j = np.triu_indices(n, 1)
+            keep = alike(among[i], among[j], its)
+            i, j = among[i[keep]], among[j[keep]]
+            if 2 * len(i) <= (ALL_PAIRS - 1) * n:
+                pairs.append((i, j))
+                continue
+            best = np.lexsort((i, apart(i, j), j))
+            best = best[np.concatenate([[True], np.diff(j[best]) > 0])]
+            met.append((i[best], j[best]))
+            its = np.union1d(i, j)
+            crowds.append((np.full(len(its), its[0]), its))
+        x, y = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+        x, y = np.divmod(np.unique(x * len(node) + y), len(node))
+        none = np.zeros(0, "i8")
+        hot, its = (np.concatenate([none, *(c[i] for c in crowds)]) for i in (0, 1))
+        cluster = joined(len(node), np.concatenate([x, hot]), np.concatenate([y, its]))
+        crowded = 2 * np.bincount(cluster[x], minlength=len(node)) > (ALL_PAIRS - 1) * np.bincount(cluster, minlength=len(node))
+        crowded[cluster[hot]] = True
+        many = crowded[cluster[x]]
+        b = np.flatnonzero(crowded[cluster])
+        a = cluster.copy() if settle else np.arange(len(node))
+        if settle and len(b):
+            low, high = (np.concatenate([none, z[many], *(m[i] for m in met)]) for i, z in enumerate((x, y)))
+            best = np.lexsort((low, apart(low, high), high))
+            best = best[np.concatenate([[True], np.diff(high[best]) > 0])]
+            a[high[best]] = low[best]
+        named = np.concatenate([np.zeros(len(x) - many.sum(), "i8"), prints[cluster[b]].view("i8") | (part << 52)])
+        paired = np.arange(len(named)) < len(named) - len(b)
+        columns = [np.concatenate([node[x[~many]], node[a[b]]]), np.concatenate([node[y[~many]], node[b]])]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(named, mask=paired), pa.array(np.where(paired, part, -1))], ["a", "b", "key", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_nothing()
@@ -288,7 +325,7 @@ def _near(pairs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def _around_hubs(dealt: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, hub) of the nodes that have more than ALL_PAIRS under a variant of DEEP (key), not all of one component.  The hub is
+    """(node, hub) of the nodes that have more than ALL_PAIRS in a cluster of DEEP (key), not all of one component.  The hub is
     the root of the component that has most of them."""
     named = dealt.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     parts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -297,6 +334,25 @@ def _around_hubs(dealt: DataFrame, roots: DataFrame) -> DataFrame:
     return durable(named.join(groups, "key").where("node <> hub").select("node", "hub").distinct(), "near-open")
 
 
+#: Sets that are near differ in size by a fourth at the most, so their bands by this factor are the same or neighbours.
+_BAND = 1.26
+
+
+def _centred(open_: DataFrame, grams: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, hub) of the same nodes with a hub for each two neighbouring bands of sizes, in which two near nodes always are
+    together: the one of these nodes, the old hub among them, that has most of the links (a, b) found so far.
+
+    Any hub would be right, but what one of another size or at the edge has or hasn't would be in the deltas of them all."""
+    links = near.select("a").union(near.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    band = F.floor(F.log(F.size("grams")) / math.log(_BAND))
+    sizes = grams.select("node", F.explode(F.array(band - 1, band)).alias("band"))
+    every = open_.union(open_.select("hub", "hub")).distinct().join(sizes, "node").join(links, "node", "left")
+    every = durable(every.select("node", "hub", "band", F.coalesce("n", F.lit(0)).alias("n")), "near-every")
+    centres = durable(every.groupBy("hub", "band").agg(F.max_by("node", F.struct("n", "node")).alias("centre")), "near-centres")
+    moved = every.join(centres, ["hub", "band"]).where("node <> centre")
+    return durable(moved.select("node", F.col("centre").alias("hub")).distinct(), "near-centred")
+
+
 def _deltas(open_: DataFrame, grams: DataFrame) -> DataFrame:
     """(node, hub, h, more, less, e, d): what a node's set has that its hub's of size h hasn't, and the other way, and how many."""
     hubs = open_.join(grams.select(F.col("node").alias("hub"), F.col("grams").alias("its")), "hub")
@@ -360,11 +416,12 @@ def near_roots(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     met = _met(deep, DEEP, settle=True)
     often = met.where("part >= 0").groupBy("a", "b").agg(F.count_distinct("part").alias("n")).where(f"n >= {DEEP_MEETS}")
     pairs = durable(pairs.union(often.select("a", "b")).union(met.where("part < 0 and a < b").select("a", "b")).distinct(), "near-pairs")
-    roots = durable(components(_near(pairs, grams)), "near-roots")
-    open_ = _around_hubs(met.where("key is not null").select("key", F.col("b").alias("node")), roots)
+    near = durable(_near(pairs, grams), "near-links")
+    roots = durable(components(near), "near-roots")
+    open_ = _around_hubs(met.where("key is not null").select("key", F.col("b").alias("node")).distinct(), roots)
     if open_.isEmpty():
         return roots
-    deltas = _deltas(open_, grams)
+    deltas = _deltas(_centred(open_, grams, near), grams)
     # what is joined already goes on as stars
     links = roots.toDF("a", "b").union(deltas.where(_NEAR_HUB).select(F.col("hub").alias("a"), F.col("node").alias("b")))
     if deltas.where(f"not ({_NEAR_HUB})").isEmpty():
